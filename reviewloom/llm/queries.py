@@ -23,5 +23,14 @@ def op4_chunked_bpe(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_token_shards, op4_chunked_bpe)}
+def op6_simhash_components(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from .simhash import classes
+
+    found = classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_token_shards, op4_chunked_bpe, op6_simhash_components)}
 ORACLE_SQL: dict[str, str] = {}
