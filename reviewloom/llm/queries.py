@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .quality_sql import OP9_SQL
 
 
 def op1_harmonic_packing(spark, sf_dir):
@@ -32,5 +33,11 @@ def op6_simhash_components(spark, sf_dir):
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_token_shards, op4_chunked_bpe, op6_simhash_components)}
-ORACLE_SQL: dict[str, str] = {}
+def op9_quality_divergence(spark, sf_dir):
+    from .quality import QualityRules
+
+    return QualityRules().score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_token_shards, op4_chunked_bpe, op6_simhash_components, op9_quality_divergence)}
+ORACLE_SQL: dict[str, str] = {"op9_quality_divergence": OP9_SQL}
