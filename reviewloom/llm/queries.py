@@ -39,11 +39,17 @@ def op7_feistel_pseudonyms(spark, sf_dir):
     return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_pii")
 
 
+def op8_line_alignment(spark, sf_dir):
+    from .linededup import dedup
+
+    return dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), removed="removed_lines")
+
+
 def op9_quality_divergence(spark, sf_dir):
     from .quality import QualityRules
 
     return QualityRules().score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_token_shards, op4_chunked_bpe, op6_simhash_components, op7_feistel_pseudonyms, op9_quality_divergence)}
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_token_shards, op4_chunked_bpe, op6_simhash_components, op7_feistel_pseudonyms, op8_line_alignment, op9_quality_divergence)}
 ORACLE_SQL: dict[str, str] = {"op9_quality_divergence": OP9_SQL}
