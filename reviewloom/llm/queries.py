@@ -18,6 +18,12 @@ def op2_token_shards(spark, sf_dir):
     return write_and_read(table(spark, sf_dir, "documents")).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op3_subword_toxicity(spark, sf_dir):
+    from .toxicity import ToxicityModel
+
+    return ToxicityModel().score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_chunked_bpe(spark, sf_dir):
     from .chunked_bpe import digests
 
@@ -51,5 +57,5 @@ def op9_quality_divergence(spark, sf_dir):
     return QualityRules().score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_token_shards, op4_chunked_bpe, op6_simhash_components, op7_feistel_pseudonyms, op8_line_alignment, op9_quality_divergence)}
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_token_shards, op3_subword_toxicity, op4_chunked_bpe, op6_simhash_components, op7_feistel_pseudonyms, op8_line_alignment, op9_quality_divergence)}
 ORACLE_SQL: dict[str, str] = {"op9_quality_divergence": OP9_SQL}
