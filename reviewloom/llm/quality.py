@@ -74,10 +74,12 @@ class QualityRules:
         rest = F.array(F.size(T + "words") - F.size(T + "common"))
         return out.withColumn(T + "bins", F.concat(counts, rest)).drop(T + "common", T + "listed")
 
-    def references(self, documents: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-        """Language key to its reference of characters and of words, as shares. A row a language reaches the driver."""
-        own = self.histograms(documents.select("text", "lang")).select(T + "lang", T + "chars", T + "bins", F.size(T + "words").alias("n"))
-        stored = materialize(own.filter(F.col("n") >= self.min_words_judged), "histograms")
+    def references(self, stored: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+        """Language key to its reference of characters and of words, as shares. A row a language reaches the driver.
+
+        `stored` is a written table of histograms: language key, both histograms, n_words.
+        """
+        stored = stored.filter(F.col(T + "n_words") >= self.min_words_judged)
         refs: dict = {}
         for k in range(3):
             near = stored
@@ -94,8 +96,8 @@ class QualityRules:
             refs = refs | found
         return refs
 
-    def judge(self, df: DataFrame, refs: dict) -> DataFrame:
-        """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, the excesses, base_failed and kept under T."""
+    def measures(self, df: DataFrame) -> DataFrame:
+        """Adds both histograms and n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, under T."""
         out = self.histograms(df)
         words, chars = F.col(T + "words"), F.col(T + "chars")
         out = out.withColumn(T + "n_words", F.size(words).cast("long")).withColumn(T + "word_chars", (F.length(T + "l0") - F.get(chars, F.lit(1))).cast("long")).withColumn(T + "n_symbols", F.get(chars, F.lit(5)).cast("long"))
@@ -111,7 +113,11 @@ class QualityRules:
         out = out.withColumn(T + "p", F.expr(f"sort_array(transform(filter({s}, (e, i) -> (i > 0 and get({s}, i - 1).x = e.x) or coalesce(get({s}, i + 1).x = e.x, false)), e -> e.i))")).drop(s)
         p = f"{T}p"
         out = out.withColumn(T + "n_repeat_words", F.expr(f"cast(aggregate(transform({p}, (x, i) -> least({WINDOW}, coalesce(get({p}, i + 1), x + {WINDOW}) - x)), 0, (a, b) -> a + b) as long)")).drop(p)
-        n = F.col(T + "n_words")
+        return out
+
+    def verdict(self, df: DataFrame, refs: dict) -> DataFrame:
+        """Adds the excesses over the references, base_failed and kept, under T, to a table of measures."""
+        out, n = df, F.col(T + "n_words")
         total = F.expr(f"aggregate({T}chars, 0, (a, b) -> a + b)")
         out = out.withColumn(T + "char_excess", F.round(distance2(T + "chars", T + "lang", refs, 0) - (N_CLASSES - 1) / (8 * math.log(2)) / F.greatest(total, F.lit(1)), 6))
         out = out.withColumn(T + "word_excess", F.round(distance2(T + "bins", T + "lang", refs, 1) - (F.size(T + "bins") - 1) / (8 * math.log(2)) / F.greatest(n, F.lit(1)), 6))
@@ -121,14 +127,19 @@ class QualityRules:
         return out.withColumn(T + "base_failed", failed).withColumn(T + "kept", ~failed & ~F.coalesce(strange, F.lit(False)) & ~F.coalesce(foreign, F.lit(False)))
 
     def score(self, documents: DataFrame) -> DataFrame:
-        """One row a document: its measures and verdict."""
-        judged = self.judge(documents.select("doc_id", "text", "lang"), self.references(documents))
-        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "char_excess", "word_excess", "base_failed", "kept")
-        return judged.select("doc_id", *[F.col(T + x).alias(x) for x in names])
+        """One row a document: its measures and verdict. The texts are read once; what is stored is a few numbers a document."""
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+        own = self.measures(documents.select("doc_id", "text", "lang"))
+        stored = materialize(own.select("doc_id", *[F.col(T + x) for x in ("lang", "chars", "bins", *names)]), "measures")
+        judged = self.verdict(stored, self.references(stored))
+        return judged.select("doc_id", *[F.col(T + x).alias(x) for x in (*names, "char_excess", "word_excess", "base_failed", "kept")])
 
     def keep(self, documents: DataFrame) -> DataFrame:
-        """The documents that are kept, with all their columns."""
-        return self.judge(documents, self.references(documents)).filter(T + "kept").select(*[F.col(f"`{c}`") for c in documents.columns])
+        """The documents that are kept, with all their columns: read once for the references and once to be judged."""
+        own = self.histograms(documents.select("text", "lang")).withColumn(T + "n_words", F.size(T + "words"))
+        stored = materialize(own.select(*[F.col(T + x) for x in ("lang", "chars", "bins", "n_words")]), "histograms")
+        judged = self.verdict(self.measures(documents), self.references(stored))
+        return judged.filter(T + "kept").select(*[F.col(f"`{c}`") for c in documents.columns])
 
 
 def distance2(bins: str, lang: str, refs: dict, which: int) -> Column:
@@ -137,12 +148,12 @@ def distance2(bins: str, lang: str, refs: dict, which: int) -> Column:
     if not usable:
         return F.lit(None).cast("double")
     ref = F.create_map(*[x for k, v in sorted(usable.items()) for x in (F.lit(k), F.array(*map(F.lit, v)))])[F.col(lang)]
-    total = F.aggregate(F.col(bins), F.lit(0).cast("double"), lambda a, b: a + b)
+    total = F.greatest(F.aggregate(F.col(bins), F.lit(0).cast("double"), lambda a, b: a + b), F.lit(1.0))
 
     def term(pair: Column) -> Column:
         p, m = pair["p"], pair["m"]
         a = (p + m) / 2
         return F.when(p > 0, p * F.log2(p / a)).otherwise(0.0) + F.when(m > 0, m * F.log2(m / a)).otherwise(0.0)
 
-    pairs = F.zip_with(F.col(bins), ref, lambda c, m: F.struct((c / F.greatest(total, F.lit(1.0))).alias("p"), F.coalesce(m, F.lit(0.0)).alias("m")))
+    pairs = F.zip_with(F.col(bins), ref, lambda c, m: F.struct((c / total).alias("p"), F.coalesce(m, F.lit(0.0)).alias("m")))
     return F.when(ref.isNotNull(), F.greatest(F.aggregate(pairs, F.lit(0.0), lambda s, x: s + term(x)) / 2, F.lit(0.0)))
