@@ -30,6 +30,12 @@ def op4_chunked_bpe(spark, sf_dir):
     return digests(table(spark, sf_dir, "documents"))
 
 
+def op5_multiprobe_neighbours(spark, sf_dir):
+    from .multiprobe import MultiProbe
+
+    return MultiProbe().search(table(spark, sf_dir, "embeddings"))
+
+
 def op6_simhash_components(spark, sf_dir):
     from pyspark.sql import functions as F
 
@@ -57,5 +63,5 @@ def op9_quality_divergence(spark, sf_dir):
     return QualityRules().score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_token_shards, op3_subword_toxicity, op4_chunked_bpe, op6_simhash_components, op7_feistel_pseudonyms, op8_line_alignment, op9_quality_divergence)}
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_token_shards, op3_subword_toxicity, op4_chunked_bpe, op5_multiprobe_neighbours, op6_simhash_components, op7_feistel_pseudonyms, op8_line_alignment, op9_quality_divergence)}
 ORACLE_SQL: dict[str, str] = {"op9_quality_divergence": OP9_SQL}
