@@ -63,5 +63,11 @@ def op9_quality_divergence(spark, sf_dir):
     return QualityRules().score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_token_shards, op3_subword_toxicity, op4_chunked_bpe, op5_multiprobe_neighbours, op6_simhash_components, op7_feistel_pseudonyms, op8_line_alignment, op9_quality_divergence)}
+def op10_ppm_code_length(spark, sf_dir):
+    from .ppm import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_token_shards, op3_subword_toxicity, op4_chunked_bpe, op5_multiprobe_neighbours, op6_simhash_components, op7_feistel_pseudonyms, op8_line_alignment, op9_quality_divergence, op10_ppm_code_length)}
 ORACLE_SQL: dict[str, str] = {"op9_quality_divergence": OP9_SQL}
