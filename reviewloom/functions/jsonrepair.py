@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 ITEM = "array<struct<item_id: string, label: string, confidence: string>>"
 
@@ -43,7 +44,7 @@ def complete_objects(s: str | None) -> list[str]:
     return out
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def salvage_nested(s: pd.Series) -> pd.Series:
     """As salvage_flat, for objects with braces inside objects or strings."""
     return s.map(complete_objects)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed, labels, text
+from .stage import stage
 
 
 def draw_key(seed: int | str, column: str) -> Column:
@@ -111,13 +112,13 @@ def priority_union(parts: list[tuple[str, DataFrame]], row: str) -> DataFrame:
 
 def build_pool(scored: DataFrame, row: str, group: str, facet: str, config: PoolConfig = PoolConfig()) -> DataFrame:
     """A pool of total_size rows: a capped draw of each bucket, then two looser top-ups and a free one; ids in drawn order."""
-    own = scored.withColumn("__buckets", buckets(config))
+    own = stage(scored.withColumn("__buckets", buckets(config)))
     quota = {f.name[2:]: getattr(config, f.name) for f in fields(config) if f.name.startswith("n_")}
     parts = []
     for i, name in enumerate(PRIORITY):
         per = max(2, config.max_per_group // 2) if name == "random" else config.max_per_group
         parts.append((name, capped_sample(own.filter(F.array_contains("__buckets", name)), quota[name], config.seed + 1 + i, row, group, per, facet, config.max_per_facet)))
-    pool = priority_union(parts, row)
+    pool = stage(priority_union(parts, row))
     rest = own.join(pool.select(row), row, "left_anti")
     hint = (F.col("neg_score_rate") > 0) | (F.col("has_service_term") == 1) | (F.col("neg_score_kw") > 0)
     ladder = [("topup_pref", rest.filter(hint), 20), ("topup_random", rest, 50), ("final_backfill", rest, config.total_size)]
@@ -126,6 +127,7 @@ def build_pool(scored: DataFrame, row: str, group: str, facet: str, config: Pool
         # a top-up counts after what is there already: the first total_size rows stay
         both = pool.withColumn("__s", F.lit(0)).unionByName(more.withColumn("__s", F.lit(1)))
         pool = both.orderBy("__s", draw_key(config.seed + 99 + i, row), row).limit(config.total_size).drop("__s")
+        pool = stage(pool)
     # at most total_size rows, whatever the input: a window over them is small
     order = Window.orderBy(draw_key(config.seed, row), row)
     return pool.drop("__buckets").withColumn("item_id", F.format_string("sent_%06d", F.row_number().over(order) - 1))

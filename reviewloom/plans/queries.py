@@ -45,9 +45,6 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(m, "doc_id", "left").select("doc_id", "text", "lang", "source", (F.col("quality") * 5.0).alias("rate"), label.alias("label"))
 
 
-C = F.col("text")
-
-
 def sql_collapse(x: str) -> str:
     return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 
@@ -70,49 +67,49 @@ def sql_draw(seed: int, column: str) -> str:
 @query(f"""SELECT doc_id, {sql_collapse(sql_elongation('cs'))} AS text_clean, length({sql_collapse(sql_elongation('cs'))}) AS n_clean,
     {sql_collapse(sql_elongation('cs'))} <> text AS changed FROM (SELECT doc_id, text, string_split(regexp_replace(text, '[^0-9A-Za-z\\x{{0600}}-\\x{{06FF}}\\s]', ' ', 'g'), '') AS cs FROM documents)""")
 def text_normalize(t):
-    return t("documents").select("doc_id", C, text.normalize(C).alias("text_clean")).select("doc_id", "text_clean", F.length("text_clean").alias("n_clean"), (F.col("text_clean") != C).alias("changed"))
+    return t("documents").select("doc_id", F.col("text"), text.normalize(F.col("text")).alias("text_clean")).select("doc_id", "text_clean", F.length("text_clean").alias("n_clean"), (F.col("text_clean") != F.col("text")).alias("changed"))
 
 
 @query(f"SELECT doc_id, {sql_elongation('cs')} AS text_short FROM (SELECT doc_id, string_split(text, '') AS cs FROM documents)")
 def elongation(t):
-    return t("documents").select("doc_id", text.elongation(C).alias("text_short"))
+    return t("documents").select("doc_id", text.elongation(F.col("text")).alias("text_short"))
 
 
 @query(f"""SELECT doc_id, {sql_collapse("array_to_string(list_transform(cs, lambda c, i: CASE WHEN c = '.' AND NOT (i > 1 AND regexp_matches(cs[i - 1], '[0-9]')) AND NOT (i < len(cs) AND regexp_matches(cs[i + 1], '[0-9]')) THEN ' ' ELSE c END), '')")} AS text_clean
     FROM (SELECT doc_id, string_split(regexp_replace(e, '[،؛؟!٪«»\"]+', ' ', 'g'), '') AS cs FROM (SELECT doc_id, {sql_elongation('c0')} AS e FROM (SELECT doc_id, string_split(text, '') AS c0 FROM documents)))""")
 def dot_clean(t):
-    return t("documents").select("doc_id", text.pre_clean(C).alias("text_clean"))
+    return t("documents").select("doc_id", text.pre_clean(F.col("text")).alias("text_clean"))
 
 
 @query("""SELECT count(*) AS n_rows, count(*) FILTER (regexp_matches(text, '(?i)(https?://\\S+|www\\.\\S+)')) AS n_url, count(*) FILTER (regexp_matches(text, '(?i)\\b[\\w\\.-]+@[\\w\\.-]+\\.\\w+\\b')) AS n_email,
     count(*) FILTER (regexp_matches(text, '(\\+?98|0)?\\s*9\\d{9}\\b')) AS n_phone, count(*) FILTER (regexp_matches(text, '[A-Za-z]')) AS n_latin, count(*) FILTER (regexp_matches(text, '\\d')) AS n_digit,
     count(*) FILTER (regexp_matches(text, '[^\\x{0600}-\\x{06FF}0-9A-Za-z\\s]')) AS n_non_standard FROM documents""")
 def pattern_coverage(t):
-    return profile.coverage(t("documents"), C)
+    return profile.coverage(t("documents"), F.col("text"))
 
 
 @query("""SELECT lang, CAST(sum(length(text)) AS BIGINT) AS n_total, CAST(sum(length(text) - length(regexp_replace(text, '[\\x{0600}-\\x{06FF}]', '', 'g'))) AS BIGINT) AS n_persian, CAST(sum(length(text) - length(regexp_replace(text, '[A-Za-z]', '', 'g'))) AS BIGINT) AS n_latin,
     CAST(sum(length(text) - length(regexp_replace(text, '[0-9]', '', 'g'))) AS BIGINT) AS n_digit, CAST(sum(length(text) - length(regexp_replace(text, '[^\\x{0600}-\\x{06FF}0-9A-Za-z\\s]', '', 'g'))) AS BIGINT) AS n_nonstd,
     CAST(sum(length(text) - length(replace(text, ' ', ''))) AS BIGINT) AS n_space FROM documents GROUP BY lang""")
 def char_composition(t):
-    stats = text.char_stats(C)
+    stats = text.char_stats(F.col("text"))
     return t("documents").select("lang", *[v.alias(k) for k, v in stats.items()]).groupBy("lang").agg(*[F.sum(k).alias(k) for k in stats])
 
 
 @query("""SELECT t.item_id, t.words AS n_words, t.key AS text_key, CASE WHEN length(p) > 80 THEN left(p, 80) || '…' ELSE p END AS preview FROM
     (SELECT item_id, len(list_filter(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) AS words, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS key, regexp_replace(text, '\\n', ' ', 'g') AS p FROM benchmark) t""")
 def text_keys(t):
-    return t("benchmark").select("item_id", text.word_count(C).alias("n_words"), text.text_key(C).alias("text_key"), text.preview(C).alias("preview"))
+    return t("benchmark").select("item_id", text.word_count(F.col("text")).alias("n_words"), text.text_key(F.col("text")).alias("text_key"), text.preview(F.col("text")).alias("preview"))
 
 
 @query("""SELECT token, count(*) AS n FROM (SELECT lower(unnest(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9._\\-]{1,}'))) AS token FROM documents) GROUP BY token ORDER BY n DESC, token LIMIT 50""")
 def latin_token_inventory(t):
-    return profile.token_counts(t("documents"), text.latin_tokens(C), 50)
+    return profile.token_counts(t("documents"), text.latin_tokens(F.col("text")), 50)
 
 
 @query(f"SELECT token, count(*) AS n FROM (SELECT unnest({sql_tokens('text')}) AS token FROM documents) GROUP BY token ORDER BY n DESC, token LIMIT 50")
 def token_counts_weighted(t):
-    return profile.weighted_token_counts(t("documents"), C, 50)
+    return profile.weighted_token_counts(t("documents"), F.col("text"), 50)
 
 
 STOP = ["the", "of", "de", "la", "der", "die", "was", "on"]
@@ -126,13 +123,13 @@ _TS = f"(SELECT doc_id, {sql_tokens('text')} AS ts FROM documents)"
 @query(f"SELECT doc_id, array_to_string(list_filter(ts, lambda t, i: NOT {_drop}), ' ') AS kept, len(list_filter(ts, lambda t, i: {_drop})) AS n_removed FROM {_TS}")
 def stopword_filter_greedy(t):
     kept, removed = text.greedy_stop_filter(F.col("ts"), STOP, PAIRS, ALLOW)
-    return t("documents").select("doc_id", text.tokens(C).alias("ts")).select("doc_id", F.array_join(kept, " ").alias("kept"), F.size(removed).alias("n_removed"))
+    return t("documents").select("doc_id", text.tokens(F.col("text")).alias("ts")).select("doc_id", F.array_join(kept, " ").alias("kept"), F.size(removed).alias("n_removed"))
 
 
 @query(f"""SELECT doc_id, array_to_string(u[1:30], ' | ') AS removed_sample FROM (SELECT doc_id, list_filter(x, lambda t, i: list_position(x, t) = i) AS u FROM (SELECT doc_id, list_filter(ts, lambda t, i: {_drop}) AS x FROM {_TS}))""")
 def removed_token_sample(t):
     _, removed = text.greedy_stop_filter(F.col("ts"), STOP, PAIRS, ALLOW)
-    return t("documents").select("doc_id", text.tokens(C).alias("ts")).select("doc_id", text.removed_sample(removed).alias("removed_sample"))
+    return t("documents").select("doc_id", text.tokens(F.col("text")).alias("ts")).select("doc_id", text.removed_sample(removed).alias("removed_sample"))
 
 
 # ---------------------------------------------------------------- profiles
@@ -140,7 +137,7 @@ def removed_token_sample(t):
 
 @query("SELECT count(text) AS n, round(min(length(text)), 6) AS min, round(avg(length(text)), 6) AS mean, round(max(length(text)), 6) AS max, round(quantile_cont(length(text), 0.1), 6) AS p10, round(quantile_cont(length(text), 0.5), 6) AS p50, round(quantile_cont(length(text), 0.9), 6) AS p90 FROM documents".replace("round(min(length(text)), 6)", "CAST(min(length(text)) AS DOUBLE)").replace("round(max(length(text)), 6)", "CAST(max(length(text)) AS DOUBLE)"))
 def length_describe(t):
-    return profile.describe(t("documents"), F.length(C))
+    return profile.describe(t("documents"), F.length(F.col("text")))
 
 
 @query("""SELECT source, count(*) AS n, CAST(min(n_chars) AS DOUBLE) AS min, round(avg(n_chars), 6) AS mean, CAST(max(n_chars) AS DOUBLE) AS max, round(quantile_cont(n_chars, 0.5), 6) AS p50, round(quantile_cont(n_chars, 0.9), 6) AS p90,
@@ -152,7 +149,7 @@ def quantile_lengths_by_group(t):
 @query(f"""SELECT source, count(*) FILTER (n > 64) AS over_64, count(*) FILTER (n > 128) AS over_128, count(*) FILTER (n > 256) AS over_256, count(*) FILTER (n > 384) AS over_384, count(*) FILTER (n > 512) AS over_512
     FROM (SELECT source, len({sql_tokens('text')}) AS n FROM documents) GROUP BY source""")
 def token_length_limits(t):
-    return profile.over_limits(t("documents"), F.size(text.tokens(C)), (64, 128, 256, 384, 512), "source")
+    return profile.over_limits(t("documents"), F.size(text.tokens(F.col("text"))), (64, 128, 256, 384, 512), "source")
 
 
 @query(""", m AS (SELECT * FROM r) SELECT 'text' AS column_name, count(*) FILTER (text IS NULL) AS n_null, count(*) FILTER (text = '') AS n_empty FROM m UNION ALL SELECT 'rate', count(*) FILTER (rate IS NULL), count(*) FILTER (CAST(rate AS VARCHAR) = '') FROM m
@@ -184,17 +181,17 @@ def language_imbalance(t):
 
 @query(f"SELECT {sql_collapse('text')} AS text_key, count(*) AS n, count(DISTINCT source) AS n_groups FROM documents GROUP BY 1 HAVING count(*) >= 2 ORDER BY n DESC, text_key LIMIT 20")
 def top_repeated_texts(t):
-    return profile.repeated_texts(t("documents"), C, "source").orderBy(F.desc("n"), "text_key").limit(20)
+    return profile.repeated_texts(t("documents"), F.col("text"), "source").orderBy(F.desc("n"), "text_key").limit(20)
 
 
 @query(f"SELECT md5({sql_collapse('text')}) AS text_md5, count(*) AS n, count(DISTINCT source) AS n_groups FROM documents GROUP BY {sql_collapse('text')} HAVING count(DISTINCT source) >= 2")
 def cross_group_repeats(t):
-    return profile.repeated_texts(t("documents"), C, "source").filter("n_groups >= 2").select(F.md5("text_key").alias("text_md5"), "n", "n_groups")
+    return profile.repeated_texts(t("documents"), F.col("text"), "source").filter("n_groups >= 2").select(F.md5("text_key").alias("text_md5"), "n", "n_groups")
 
 
 @query("SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n) - count(*) AS BIGINT) AS n_duplicates FROM (SELECT count(*) AS n FROM documents GROUP BY text)")
 def duplicate_row_count(t):
-    return profile.duplicate_rows(t("documents"), C)
+    return profile.duplicate_rows(t("documents"), F.col("text"))
 
 
 @query("SELECT strftime(ts, '%Y') AS year, count(*) AS n FROM events GROUP BY 1")
@@ -229,7 +226,7 @@ def latest_per_key(t):
 
 @query(f"""SELECT doc_id, group_size, rank_in_group FROM (SELECT doc_id, count(*) OVER (PARTITION BY {sql_collapse('text')}) AS group_size, row_number() OVER (PARTITION BY {sql_collapse('text')} ORDER BY doc_id) AS rank_in_group FROM documents) WHERE group_size >= 2""")
 def duplicate_groups(t):
-    d = t("documents").withColumn("k", text.text_key(C))
+    d = t("documents").withColumn("k", text.text_key(F.col("text")))
     return canonical.duplicate_groups(d, "k", F.asc("doc_id")).select("doc_id", "group_size", "rank_in_group")
 
 
@@ -252,7 +249,7 @@ def semi_chosen(t):
 
 @query(f"SELECT doc_id, length(text) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY left({sql_collapse('text')}, 24) ORDER BY length(text) DESC, doc_id) AS rn FROM documents) WHERE rn = 1")
 def dup_text_dedup_longest(t):
-    return canonical.keep_longest(t("documents"), F.left(text.text_key(C), F.lit(24)), "text", "doc_id").select("doc_id", F.length("text").alias("n_chars"))
+    return canonical.keep_longest(t("documents"), F.left(text.text_key(F.col("text")), F.lit(24)), "text", "doc_id").select("doc_id", F.length("text").alias("n_chars"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN n_name WHEN c_nationkey % 3 = 1 THEN c_mktsegment ELSE coalesce(n_name, 'UNKNOWN') END AS place FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")
@@ -264,12 +261,12 @@ def lookup_fill(t):
 @query("""SELECT source, md5(d) AS doc_md5, n AS comments_used, length(d) AS doc_char_len, len(list_filter(string_split(d, ' '), lambda x: x <> '')) AS doc_token_len_est
     FROM (SELECT source, count(*) AS n, string_agg(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ' ORDER BY doc_id) AS d FROM documents GROUP BY source)""")
 def group_documents(t):
-    return canonical.group_documents(t("documents"), "source", "doc_id", text.collapse(C)).select("source", F.md5("document").alias("doc_md5"), "comments_used", "doc_char_len", "doc_token_len_est")
+    return canonical.group_documents(t("documents"), "source", "doc_id", text.collapse(F.col("text"))).select("source", F.md5("document").alias("doc_md5"), "comments_used", "doc_char_len", "doc_token_len_est")
 
 
 @query("SELECT conv_id, d AS document, n AS comments_used, length(d) AS doc_char_len, len(list_filter(string_split(d, ' '), lambda x: x <> '')) AS doc_token_len_est FROM (SELECT conv_id, count(*) AS n, string_agg(text, ' ' ORDER BY turn, text) AS d FROM conversations GROUP BY conv_id)")
 def conversation_documents(t):
-    return canonical.group_documents(t("conversations"), "conv_id", "turn", C)
+    return canonical.group_documents(t("conversations"), "conv_id", "turn", F.col("text"))
 
 
 @query("WITH w AS (SELECT DISTINCT c_custkey AS k FROM customer), g AS (SELECT DISTINCT o_custkey + 10 AS k FROM orders) SELECT count(w.k) AS n_wanted, count(g.k) AS n_got, count(*) FILTER (w.k IS NOT NULL AND g.k IS NULL) AS n_missing, count(*) FILTER (w.k IS NULL) AS n_extra FROM w FULL JOIN g ON w.k = g.k")
@@ -294,7 +291,7 @@ CONFIG = index.IndexConfig()
 
 
 def _tf(t, rows=None):
-    return index.row_terms((rows if rows is not None else t("documents")), "source", "doc_id", text.tokens(F.lower(C)))
+    return index.row_terms((rows if rows is not None else t("documents")), "source", "doc_id", text.tokens(F.lower(F.col("text"))))
 
 
 def _index(t, rows=None, config=CONFIG):
@@ -371,10 +368,10 @@ def sql_queries(source: str, name: str = "item_id") -> str:
 def oov_report(t):
     postings, terms = _index(t)
     q = t("benchmark")
-    qterms = retrieval.query_terms(q, "item_id", text.tokens(F.lower(C)))
+    qterms = retrieval.query_terms(q, "item_id", text.tokens(F.lower(F.col("text"))))
     known = retrieval.vocabulary_report(qterms, terms)
     best = retrieval.similarities(retrieval.query_vectors(qterms, terms), postings).groupBy("query").agg(F.max("sim").alias("top1_sim"))
-    all_ = q.select(F.col("item_id").alias("query"), F.concat(F.lit("set"), (F.col("item_id") % 3).cast("string")).alias("query_set"), text.is_blank(C).alias("is_empty"))
+    all_ = q.select(F.col("item_id").alias("query"), F.concat(F.lit("set"), (F.col("item_id") % 3).cast("string")).alias("query_set"), text.is_blank(F.col("text")).alias("is_empty"))
     return retrieval.suite_report(all_.join(known, "query", "left").join(best, "query", "left").na.fill(0, ["nnz"]).na.fill(0.0, ["oov_ratio"]))
 
 
@@ -384,7 +381,7 @@ _TOP = f"WITH {sql_index()}, {sql_queries('benchmark')}, top AS (SELECT query, d
 @query(f"{_TOP} SELECT * FROM top")
 def retrieve_topk(t):
     postings, terms = _index(t)
-    return retrieval.search(t("benchmark"), "item_id", text.tokens(F.lower(C)), postings, terms, 5)
+    return retrieval.search(t("benchmark"), "item_id", text.tokens(F.lower(F.col("text"))), postings, terms, 5)
 
 
 @query(f"""{_TOP.replace('WITH ', 'WITH ' + REVIEWS + ', ', 1)}, ev AS (SELECT top.query, top.doc, count(*) AS q_support, count(*) FILTER (coalesce(rate >= 4, false)) AS q_recommend FROM top JOIN (SELECT query, list(DISTINCT term) AS ts FROM qtf WHERE contains(term, ' ') GROUP BY query) q ON q.query = top.query
@@ -394,10 +391,10 @@ def retrieve_topk(t):
     SELECT *, row_number() OVER (PARTITION BY query ORDER BY final_score DESC, sim DESC, q_support DESC, doc) AS rank FROM f""")
 def rerank_topk(t):
     postings, terms = _index(t)
-    qterms = retrieval.query_terms(t("benchmark"), "item_id", text.tokens(F.lower(C)))
+    qterms = retrieval.query_terms(t("benchmark"), "item_id", text.tokens(F.lower(F.col("text"))))
     best = retrieval.top_k(retrieval.similarities(retrieval.query_vectors(qterms, terms), postings), 5)
     # phrases of two words alone: single ones are in almost every long document
-    found = retrieval.evidence(best, qterms.filter(F.contains("term", F.lit(" "))), t("reviews"), "source", C, F.col("rate"))
+    found = retrieval.evidence(best, qterms.filter(F.contains("term", F.lit(" "))), t("reviews"), "source", F.col("text"), F.col("rate"))
     return retrieval.rerank(best, found)
 
 
@@ -414,7 +411,7 @@ def _ranks(t):
     parts = retrieval.holdout(t("documents"), "source", "doc_id")
     postings, terms = _index(t, parts.filter("part = 'train'"))
     test = parts.filter("part = 'test'")
-    vectors = retrieval.query_vectors(retrieval.query_terms(test, "doc_id", text.tokens(F.lower(C))), terms)
+    vectors = retrieval.query_vectors(retrieval.query_terms(test, "doc_id", text.tokens(F.lower(F.col("text")))), terms)
     truth = test.select(F.col("doc_id").alias("query"), F.col("source").alias("doc"))
     ranks = retrieval.true_ranks(retrieval.similarities(vectors, postings), truth, vectors.select("query").distinct())
     return ranks.join(truth.select("query", F.col("doc").alias("source")), "query")
@@ -437,7 +434,7 @@ WATCH = ["the", "of", "and", "idiot", "de"]
 
 @query(" UNION ALL ".join(f"SELECT '{w}' AS token, count(*) FILTER (list_contains(string_split({sql_collapse('text')}, ' '), '{w}')) AS n, round(count(*) FILTER (list_contains(string_split({sql_collapse('text')}, ' '), '{w}')) / count(*), 6) AS share FROM documents" for w in WATCH))
 def df_audit(t):
-    return stopwords.document_frequencies(t("documents"), C, WATCH)
+    return stopwords.document_frequencies(t("documents"), F.col("text"), WATCH)
 
 
 _AUTO = f"""WITH tk AS (SELECT source AS g, lang AS f, unnest({sql_tokens('lower(text)')}) AS token FROM documents), tk2 AS (SELECT * FROM tk WHERE token NOT IN ('and', 'on')),
@@ -448,7 +445,7 @@ _AUTO = f"""WITH tk AS (SELECT source AS g, lang AS f, unnest({sql_tokens('lower
 
 def _candidates(t):
     d = t("documents")
-    toks = d.select(F.col("source").alias("group"), F.col("lang").alias("facet"), F.explode(text.tokens(F.lower(C))).alias("token"))
+    toks = d.select(F.col("source").alias("group"), F.col("lang").alias("facet"), F.explode(text.tokens(F.lower(F.col("text")))).alias("token"))
     return stopwords.suggest(toks, d.agg(F.count_distinct("source").alias("n")), min_df=10, allow=ALLOW)
 
 
@@ -490,7 +487,7 @@ _BUCKETS = f"""{_SCORED}, b0 AS (SELECT *, CASE WHEN neg_score_kw >= 1.2 AND pos
 
 
 def _scored(t):
-    return labeling.pool_scores(t("reviews"), C, F.col("rate"), POOL)
+    return labeling.pool_scores(t("reviews"), F.col("text"), F.col("rate"), POOL)
 
 
 @query(f"{_SCORED} SELECT doc_id, round(neg_score, 6) AS neg_score, neg_hits, round(pos_score, 6) AS pos_score, pos_hits, has_service_term, has_service_neg_cue FROM s")
@@ -535,7 +532,7 @@ _WL = f"{_WEAK}, wl AS (SELECT doc_id, source, label, {sql_weak(_P, 'label')} AS
 
 def _weak(t, rows=None):
     d = (rows if rows is not None else t("reviews"))
-    d = d.withColumns(labels.weak_features(C, WEAK)).withColumn("wl", labels.weak_label())
+    d = d.withColumns(labels.weak_features(F.col("text"), WEAK)).withColumn("wl", labels.weak_label())
     return d.withColumn("label_weak", F.col("wl.label")).withColumn("weak_confidence", F.round("wl.confidence", 6)).withColumn("weak_reason", F.col("wl.reason"))
 
 
@@ -579,7 +576,7 @@ SMALL_GRID = {"neg_th": (1.6, 2.4), "pos_th": (1.6, 2.4), "mixed_margin": (0.8,
     m AS (SELECT param_id, fold, sum(CASE WHEN sup + cal > 0 THEN 2 * hit / (sup + cal) ELSE 0 END) / 3 AS f1 FROM cl GROUP BY param_id, fold)
     SELECT param_id, CAST(any_value(nt) AS DOUBLE) AS neg_th, CAST(any_value(pt) AS DOUBLE) AS pos_th, CAST(any_value(mm) AS DOUBLE) AS mixed_margin, round(avg(f1), 6) AS macro_f1 FROM m JOIN pg USING (param_id) GROUP BY param_id""")
 def weak_param_grid(t):
-    gold = t("reviews").filter("label is not null").withColumns(labels.weak_features(C, WEAK))
+    gold = t("reviews").filter("label is not null").withColumns(labels.weak_features(F.col("text"), WEAK))
     return metrics.weak_grid(gold, "label", "doc_id", SMALL_GRID, 42, 5)
 
 
@@ -708,19 +705,19 @@ def html_extract(t):
 def label_pool(t):
     """The whole ladder of draws into a pool of 300 rows."""
     config = labeling.PoolConfig(total_size=300, n_high_neg=60, n_service_neg=50, n_rate_neg=50, n_mid_neg=30, n_mixed=30, n_random=50, n_high_pos=30)
-    rows = labeling.usable(t("reviews"), C, config)
-    return labeling.build_pool(labeling.pool_scores(rows, C, F.col("rate"), POOL), "doc_id", "source", "lang", config).select("item_id", "doc_id", "bucket", "neg_score", "pos_score")
+    rows = labeling.usable(t("reviews"), F.col("text"), config)
+    return labeling.build_pool(labeling.pool_scores(rows, F.col("text"), F.col("rate"), POOL), "doc_id", "source", "lang", config).select("item_id", "doc_id", "bucket", "neg_score", "pos_score")
 
 
 @query()
 def request_batches(t):
-    return labeling.greedy_batches(t("benchmark").select("item_id", text.compact(C).alias("text")), "item_id", F.length("text"), 30, 12_000).select("item_id", "batch_no")
+    return labeling.greedy_batches(t("benchmark").select("item_id", text.compact(F.col("text")).alias("text")), "item_id", F.length("text"), 30, 12_000).select("item_id", "batch_no")
 
 
 @query()
 def mlp_sentiment(t):
     """A classifier trained on the train split of the labelled rows, and its predictions for all labelled rows."""
     gold = labeling.stratified_split(t("reviews").filter("label is not null"), "label", "doc_id").withColumn("class_id", labels.class_id(F.col("label")).cast("double"))
-    featured = classify.features(gold, C).select("doc_id", "split", "label", "class_id", "terms")
+    featured = classify.features(gold, F.col("text")).select("doc_id", "split", "label", "class_id", "terms")
     model = classify.fit(featured.filter("split = 'train'"), buckets=256, max_iter=15)
     return classify.predict(model, featured).select("doc_id", "split", "label", "predicted")

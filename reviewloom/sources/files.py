@@ -34,9 +34,8 @@ def flatten_profiles(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 def read_csv(spark: SparkSession, path: str, schema: str, keep_empty: bool = True) -> DataFrame:
     """A CSV table with a header (a byte-order mark before it is dropped); keep_empty: empty fields are '', not null."""
     reader = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("enforceSchema", True)
-    if keep_empty:
-        reader = reader.option("nullValue", "\u0000").option("emptyValue", "")
-    return reader.csv(path)
+    df = reader.option("emptyValue", "").csv(path)
+    return df.na.fill("") if keep_empty else df  # fills strings alone
 
 
 def write_csv(df: DataFrame, path: str) -> None:
