@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 CHUNK = 4096
 QUERY_BLOCK = 512
+FEW = 256
 
 
 @dataclass(frozen=True)
@@ -89,7 +90,7 @@ class MultiProbe:
             near = np.argsort(d, kind="stable")[: min(self.k, len(vectors) - 1)]
             needed.append(best[i, near])
         flat = np.concatenate(needed) if needed else np.zeros(0)
-        return Depth(width, float(np.quantile(flat, self.target_recall)) if len(flat) else np.inf)
+        return Depth(width, float(np.quantile(flat, self.target_recall, method="higher")) if len(flat) else np.inf)
 
     def search(self, embeddings: DataFrame, every: int = 100) -> DataFrame:
         """query_id, rank, vec_id, score: the nearest found of each vector whose vec_id is divisible by `every`."""
@@ -101,8 +102,8 @@ class MultiProbe:
         by_dim: dict[int, list] = {}
         for r in rows:
             by_dim.setdefault(len(r.v), []).append(r.v)
-        # a length that the bounded sample lacks is searched in full
-        depths = {n: self.fit(np.array(v)) for n, v in by_dim.items()}
+        # a length of which the bounded sample has little is rare, and searched in full
+        depths = {n: self.fit(np.array(v)) for n, v in by_dim.items() if len(v) >= FEW}
         n_queries = valid.filter(F.col("vec_id") % every == 0).count()
         blocks = max(1, -(-n_queries // QUERY_BLOCK))
         spread = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
