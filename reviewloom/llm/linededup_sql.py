@@ -1,0 +1,18 @@
+"""DuckDB SQL for line dedup, for tables whose doc_id values are distinct."""
+
+from .linededup import MIN_WORDS
+
+_WS = "[\\x20\\x09-\\x0D]+"
+
+OP8_SQL = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+    l AS (SELECT rid, doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS i FROM (SELECT rid, doc_id, string_split(text, chr(10)) AS ls FROM d)),
+    w AS (SELECT rid, doc_id, i, regexp_replace(line, '^{_WS}|{_WS}$', '', 'g') AS t, len(list_filter(regexp_split_to_array(line, '{_WS}'), lambda x: x <> '')) AS n FROM l),
+    k AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) AS pos, sum(n) OVER (PARTITION BY rid ORDER BY i) AS c FROM w WHERE n > 0),
+    a AS (SELECT rid, list(t ORDER BY pos) AS ts, list(i ORDER BY pos) AS ix, list(c ORDER BY pos) AS cs FROM k GROUP BY rid),
+    m AS (SELECT rid, doc_id, i, pos, 1 + len(list_filter(cs, lambda x: x < c - n + {MIN_WORDS})) AS last, ts, ix FROM k JOIN a USING (rid)),
+    r AS (SELECT rid, doc_id, i, ix[last] AS j, array_to_string(ts[pos:last], chr(10)) AS passage FROM m WHERE last <= len(ts)),
+    o AS (SELECT passage, min(doc_id) AS holder FROM r GROUP BY passage),
+    gone AS (SELECT DISTINCT rid, unnest(range(i, j + 1)) AS i FROM r JOIN o USING (passage) WHERE doc_id <> holder),
+    g AS (SELECT rid, count(*) AS n FROM gone GROUP BY rid),
+    x AS (SELECT rid, string_agg(line, chr(10) ORDER BY i) AS kept FROM l ANTI JOIN gone USING (rid, i) GROUP BY rid)
+    SELECT doc_id, CASE WHEN g.n IS NULL THEN text ELSE coalesce(kept, '') END AS text, coalesce(g.n, 0) AS removed_lines FROM d LEFT JOIN g USING (rid) LEFT JOIN x USING (rid)"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .linededup_sql import OP8_SQL
 from .quality_sql import OP9_SQL
 
 
@@ -70,4 +71,4 @@ def op10_ppm_code_length(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_harmonic_packing, op2_token_shards, op3_subword_toxicity, op4_chunked_bpe, op5_multiprobe_neighbours, op6_simhash_components, op7_feistel_pseudonyms, op8_line_alignment, op9_quality_divergence, op10_ppm_code_length)}
-ORACLE_SQL: dict[str, str] = {"op9_quality_divergence": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op8_line_alignment": OP8_SQL, "op9_quality_divergence": OP9_SQL}
