@@ -117,3 +117,13 @@ AUDIT_PATTERNS = {
     "digit": r"\d",
     "non_standard": r"[^؀-ۿ0-9A-Za-z\s]",
 }
+
+# What the first step's report counts.
+STEP_PATTERNS = {
+    "control": CONTROL_CHARS,
+    "non_standard": r"[^0-9A-Za-z؀-ۿ\s]",
+    "elongation": r"(\S)\1{2,}",
+    "latin": r"[A-Za-z]",
+    "digit": r"\d",
+    "arabic_variants": r"[يكأإؤةٱئ]",
+}

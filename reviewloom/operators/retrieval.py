@@ -136,3 +136,10 @@ def suite_report(results: DataFrame, set_name: str = "query_set") -> DataFrame:
         F.count("*").alias("n_queries"), F.count_if("is_empty").alias("n_empty"), F.count_if(F.col("nnz") == 0).alias("n_nnz0"),
         F.count_if(F.coalesce("top1_sim", F.lit(0.0)) == 0).alias("n_top1_sim0"), F.round(F.avg("oov_ratio"), 6).alias("mean_oov_ratio"),
     )
+
+
+def variant_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Per query, of two variants' results (query, doc): how many documents both found, and each alone."""
+    both = a.select("query", "doc", F.lit(1).alias("a")).join(b.select("query", "doc", F.lit(1).alias("b")), ["query", "doc"], "full_outer")
+    one = lambda x, y: F.count_if(F.col(x).isNotNull() & F.col(y).isNull())
+    return both.groupBy("query").agg(F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("n_both"), one("a", "b").alias("n_only_a"), one("b", "a").alias("n_only_b"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html, jsonrepair, labels, text
-from ..operators import canonical, classify, index, labeling, metrics, profile, retrieval, stopwords
+from ..operators import canonical, classify, columns, index, labeling, metrics, preprocess, profile, retrieval, stopwords
 from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,6 +132,23 @@ def removed_token_sample(t):
     return t("documents").select("doc_id", text.tokens(F.col("text")).alias("ts")).select("doc_id", text.removed_sample(removed).alias("removed_sample"))
 
 
+_CLEAN = sql_collapse(sql_elongation("cs"))
+_SW = ", ".join(repr(w) for w in STOP)
+
+
+@query(f"""WITH c AS (SELECT doc_id, string_split(regexp_replace(text, '[^0-9A-Za-z\\x{{0600}}-\\x{{06FF}}\\s]', ' ', 'g'), '') AS cs FROM documents), k AS (SELECT doc_id, list_filter(string_split({_CLEAN}, ' '), lambda t: length(t) >= 2) AS ta FROM c),
+    n AS (SELECT doc_id, ta, list_filter(ta, lambda t: NOT list_contains([{_SW}], t)) AS tn FROM k)
+    SELECT doc_id, len(ta) AS tok_all_count, len(tn) AS tok_nostop_count, len(tn) = 0 AS empty_tok_nostop, CASE WHEN len(ta) > 0 THEN round((len(ta) - len(tn)) / len(ta), 6) END AS removed_ratio, md5(array_to_string(CASE WHEN len(tn) = 0 THEN ta ELSE tn END, ' ')) AS tfidf_md5 FROM n""")
+def preprocess_tokens(t):
+    out = preprocess.tokenized(preprocess.steps(t("documents").select("doc_id", "text")), STOP)
+    return out.select("doc_id", "tok_all_count", "tok_nostop_count", "empty_tok_nostop", F.round("stopword_removed_ratio", 6).alias("removed_ratio"), F.md5("text_for_tfidf").alias("tfidf_md5"))
+
+
+@query("SELECT doc_id FROM (SELECT doc_id FROM documents ORDER BY n_chars, doc_id LIMIT 20) UNION SELECT doc_id FROM (SELECT doc_id FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20) UNION SELECT doc_id FROM (SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 20)")
+def length_samples(t):
+    return columns.length_samples(t("documents").select("doc_id", "n_chars"), F.col("n_chars"), "doc_id", 20).select("doc_id")
+
+
 # ---------------------------------------------------------------- profiles
 
 
@@ -384,6 +401,14 @@ def retrieve_topk(t):
     return retrieval.search(t("benchmark"), "item_id", text.tokens(F.lower(F.col("text"))), postings, terms, 5)
 
 
+@query(f"""{_TOP}, alt AS (SELECT query, doc FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY sim, doc) AS rank FROM sims) WHERE rank <= 15)
+    SELECT query, count(*) FILTER (top.doc IS NOT NULL AND alt.doc IS NOT NULL) AS n_both, count(*) FILTER (alt.doc IS NULL) AS n_only_a, count(*) FILTER (top.doc IS NULL) AS n_only_b FROM top FULL JOIN alt USING (query, doc) GROUP BY query""")
+def variant_overlap(t):
+    postings, terms = _index(t)
+    sims = retrieval.similarities(retrieval.query_vectors(retrieval.query_terms(t("benchmark"), "item_id", text.tokens(F.lower(F.col("text")))), terms), postings)
+    return retrieval.variant_overlap(retrieval.top_k(sims, 5), retrieval.top_k(sims.withColumn("sim", -F.col("sim")), 15))
+
+
 @query(f"""{_TOP.replace('WITH ', 'WITH ' + REVIEWS + ', ', 1)}, ev AS (SELECT top.query, top.doc, count(*) AS q_support, count(*) FILTER (coalesce(rate >= 4, false)) AS q_recommend FROM top JOIN (SELECT query, list(DISTINCT term) AS ts FROM qtf WHERE contains(term, ' ') GROUP BY query) q ON q.query = top.query
     JOIN r ON r.source = top.doc WHERE len(list_filter(ts, lambda x: contains(' ' || text || ' ', ' ' || x || ' '))) > 0 GROUP BY top.query, top.doc),
     s AS (SELECT query, doc, sim, coalesce(q_support, 0) AS n, coalesce(q_recommend, 0) AS k FROM top LEFT JOIN ev USING (query, doc)),

@@ -180,3 +180,28 @@ def test_classifier_learns_a_word(spark):
 def test_bins_keep_zeros(spark):
     df = spark.createDataFrame([(0.0,), (5.0,), (None,)], "r double")
     assert [(r.bin, r.n) for r in profile.bins(df, F.col("r")).orderBy("bin_no").collect()] == [("eq_0", 1), ("(0,1]", 0), ("(1,2]", 0), ("(2,3]", 0), ("(3,4]", 0), ("(4,5]", 1)]
+
+
+def test_preprocessing_to_retriever_input(spark):
+    from reviewloom.operators import preprocess
+
+    df = spark.createDataFrame([(-1, "عدم رضایت"), (1, "دکتر عاااالی درد گردن MRI"), (1, "  "), (1, "واقعا نه"), (0, None)], "label int, text string")
+    rows = preprocess.retriever_input(df, F.col("label"), stopwords=["واقعا", "نه"]).collect()
+    assert [r.for_index for r in rows] == [False, True, False, True, False]
+    assert rows[1].text_for_tfidf == "دکتر عاالی درد گردن MRI"
+    assert rows[1].text_for_tfidf_medical == "عاالی درد گردن MRI"
+    assert rows[3].text_for_tfidf == "نه"
+    q = preprocess.query_tokens(spark.createDataFrame([("درحال درمان MRI فوقالعاده",)], "q string"), "q").first().tokens
+    assert q == ["در", "حال", "درمان", "mri"]
+
+
+def test_columns_and_configs(spark):
+    from reviewloom.config import HybridConfig
+    from reviewloom.operators import columns
+
+    df = spark.createDataFrame([(1,)], "b int")
+    assert columns.pick(df, "a", "b") == "b"
+    assert columns.pick(df, "c") is None
+    assert columns.ensure(df, a="x", b=2).first().asDict() == {"b": 1, "a": "x"}
+    assert columns.project(df, "z", "b").first().asDict() == {"z": None, "b": 1}
+    assert HybridConfig.from_env(env={"HYB_GOLD_REPEAT": "5", "HYB_CONF_TH_NEG": "0.5"}) == HybridConfig(conf_th_neg=0.5, gold_repeat=5)
