@@ -39,9 +39,13 @@ SECRET = r"(?<![A-Za-z0-9])(?=[0-9]*[a-fA-F])[0-9a-fA-F]{32,64}(?![A-Za-z0-9])"
 IP = rf"(?<![0-9A-Za-z.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9A-Za-z]|\.[0-9])"
 DATE = r"(?<![0-9A-Za-z/.-])(?:[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}|[0-9]{2}([-/.])[0-9]{2}\2[0-9]{4})(?![0-9A-Za-z]|[-/.][0-9])"
 SSN = r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])"
-PHONE = r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}|(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])"
+PHONE = (
+    r"(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?(?:[0-9]{3,4}[ .-]?[0-9]{3,4}|[0-9]{2,3}(?:[ .-][0-9]{2}){2,3})"
+    r"|\+[0-9]{1,3}([ .-])[0-9]{1,4}(?:\5[0-9]{2,4}){1,4}|\+[0-9]{8,15}|(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z])"
+)
 CARD = r"(?<![0-9A-Za-z.])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{1,7}|[0-9]{4}([ -])[0-9]{6}\4[0-9]{5})(?![0-9A-Za-z]|\.[0-9])"
-ANY = "|".join([EMAIL, IBAN, SECRET, DATE, IP, SSN, PHONE, CARD])
+# back references count the groups of the whole: dates have the first two, cards the next two, phones the fifth
+ANY = "|".join([EMAIL, IBAN, SECRET, DATE, IP, SSN, CARD, PHONE])
 DAYS = 270  # a block of dates is 270 * 270 days
 T = "__rl_p_"
 
@@ -109,7 +113,8 @@ def with_pseudonyms(df: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
         WHEN {_full('m', DATE)} THEN if({_day('m')} is not null, 'date', null)
         WHEN {_full('m', IP)} THEN 'ip'
         WHEN {_full('m', SSN)} THEN if(substr(m, 1, 3) in ('000', '666') or m like '9%' or substr(m, 5, 2) = '00' or m like '%0000', null, 'ssn')
-        WHEN m like '+%' or m like '(%' or {_full('m', '[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}')} THEN 'phone'
+        WHEN m like '+%' THEN if(length({_digits('m')}) between 8 and 15, 'phone', null)
+        WHEN m like '(%' or {_full('m', '[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}')} THEN 'phone'
         WHEN {_luhn(_digits('m'))} = 0 THEN 'card' END"""
     # the digits that a phone number keeps: the country code, up to the first separator (its first digit without one)
     kept = "if(e.m not like '+%', 0, if(e.m rlike '^[+][0-9]{1,3}[ .(-]', length(regexp_extract(e.m, '^[+]([0-9]+)', 1)), 1))"
