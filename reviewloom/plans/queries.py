@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import html, jsonrepair, labels, text
 from ..operators import canonical, classify, columns, index, labeling, metrics, preprocess, profile, retrieval, stopwords
 from ..sources import files
+from ..workers import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -24,6 +25,7 @@ def query(sql: str | None = None):
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            importable(spark)
             df = f(lambda name: reviews(spark, sf_dir) if name == "reviews" else spark.read.parquet(f"{sf_dir}/{name}.parquet"))
             return df.select(*[F.col(f"`{c}`").cast("long").alias(c) if t in ("int", "smallint", "tinyint") else F.col(f"`{c}`") for c, t in df.dtypes])
 
