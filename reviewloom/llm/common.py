@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import importable
+
 #: A word is a run without ASCII white space (space and 0x09 to 0x0D).
 WORD = r"[^\x20\x09-\x0D]+"
 words = re.compile(WORD).findall
@@ -43,6 +45,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
