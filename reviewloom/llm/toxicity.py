@@ -103,6 +103,7 @@ class FastText:
     rounds: int = 6
     rate: float = 0.05
     fade: float = 0.6
+    misspelt_weight: float = 0.1
     seed: int = 7
     table: np.ndarray = field(default=None, repr=False)  # embeddings
     layer: np.ndarray = field(default=None, repr=False)  # (dim, 2)
@@ -178,7 +179,7 @@ class FastText:
             negative = np.unique(np.r_[hard[clean[hard]], rng.permutation(np.flatnonzero(clean))[: 20_000]])
         top = np.full(len(docs), -20.0)
         np.maximum.at(top, owner, z + self.logits()[1])
-        # a document whose one toxic word is misspelt is toxic too, at a third of the weight
+        # a document whose one toxic word is misspelt is toxic too, at less weight
         other = self._misspelt(bags, [segments[k] for k in best if y[owner[k]] == 1 and apart[owner[k]]], rng, 1)
         weight = np.ones(len(docs))[apart]
         top, y = top[apart], y[apart]
@@ -186,7 +187,7 @@ class FastText:
             score = self._word_scores(bags)
             items, item_segment, _ = _ragged(other)
             top = np.r_[top, np.bincount(item_segment, score[items], len(other)) / SEGMENT + self.logits()[1]]
-            y, weight = np.r_[y, np.ones(len(other), int)], np.r_[weight, np.full(len(other), 1 / 3)]
+            y, weight = np.r_[y, np.ones(len(other), int)], np.r_[weight, np.full(len(other), self.misspelt_weight)]
         if len(set(y.tolist())) == 2:
             self._calibrate(top, y, weight)
         return self
