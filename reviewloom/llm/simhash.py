@@ -140,26 +140,3 @@ def classes(documents: DataFrame, width: int = 3, split_over: int = SPLIT_OVER)
     named = held.groupBy("root").agg(F.min("first_doc").alias("component_id"))
     by_print = held.join(named, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
-
-
-def survivors(documents: DataFrame, width: int = 5, split_over: int = SPLIT_OVER) -> DataFrame:
-    """One document of each class of near-duplicates, the one of the smallest doc_id, with all columns.
-
-    Of rows with one doc_id, a hash of the text decides; of equal rows, one stays; a null doc_id is greater than all.
-    """
-    d, t = "__rl_s_d", "__rl_s_t"
-    keyed = documents.withColumn(d, F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))).withColumn(t, F.xxhash64("text"))
-
-    def run(batches):
-        for batch in batches:
-            texts = column(batch, "text")
-            fp = [fingerprint(hashes(x, width)) for i, j in slices(texts) for x in texts[i:j]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.int64())], names=["d", "t", "fp"])
-
-    own = keyed.select(F.col(d).alias("d"), F.col(t).alias("t"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    prints = materialize(own.mapInArrow(run, "d long, t long, fp long"), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min(F.struct("d", "t")).alias("first"))
-    roots = components(links(distinct.select("fp"), split_over)).withColumnRenamed("node", "fp")
-    held = distinct.join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    chosen = held.select(F.col("first.d").alias(d), F.col("first.t").alias(t))
-    return keyed.join(chosen, [d, t], "left_semi").dropDuplicates([d, t]).select(*[F.col(f"`{c}`") for c in documents.columns])
