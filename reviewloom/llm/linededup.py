@@ -2,15 +2,16 @@
 
 A passage is a run of neighbouring lines with at least `min_words` words; lines are
 compared without the white space around them, and lines without words do not count.
-From each line starts one shortest such run (the line alone if it is long enough), and
-its 128-bit hash is the rare hash that documents are matched by: a common passage of two
-documents begins with a common run, so no passage is missed, and boilerplate of a few
-words matches nothing. A document is paired with the earliest document that holds a run,
+From each line starts one shortest such run (the line alone if it is long enough), and at
+each line ends one. Their 128-bit hashes are the rare hashes that documents are matched by:
+a common passage of two documents begins and ends with a common run and each of its lines
+lies in one, so passages are found to their last line, and boilerplate of a few words
+matches nothing. A document is paired with the earliest document that holds a run,
 not with all others: pairs are as many as lines at most, whatever a group's size, and
 all passages that have an earlier holder are still found.
 
 A pair is aligned by patience diff: of the runs that occur once on both sides, the longest
-increasing subsequence anchors the alignment, anchors grow over neighbouring lines that
+increasing subsequence anchors the alignment, anchors grow over neighbouring runs that
 also match, and the gaps between anchors are aligned in the same way. What remains, moved
 and repeated passages, is aligned in further rounds against the whole earlier document.
 Aligned blocks are deleted from the later document; the earliest holder keeps them.
@@ -39,19 +40,26 @@ _RUNS = "d long, t long, i int, j int, words int, k1 long, k2 long"
 
 
 def runs(text: str, min_words: int) -> list[tuple[int, int, int, int]]:
-    """(first line, last line, words, hash) of the shortest run of at least `min_words` words from each line with words."""
+    """(first line, last line, words, hash) of the shortest run of at least `min_words` words from each line with words, and of that to each."""
     lines = [(i, s, len(s.split())) for i, line in enumerate(text.encode().split(b"\n")) if (s := line.strip())]
-    out, end, held = [], 0, 0
-    for at, (i, line, n) in enumerate(lines):
+    spans, end, held = {}, 0, 0
+    for at, (_, _, n) in enumerate(lines):  # from each line
         while end < len(lines) and held < min_words:
             held += lines[end][2]
             end += 1
         if held < min_words:
             break
-        own = line if end == at + 1 else b"\n".join(x[1] for x in lines[at:end])
-        out.append((i, lines[end - 1][0], held, xxhash.xxh3_128_intdigest(own)))
+        spans[at, end] = held
         held -= n
-    return out
+    at, held = 0, 0
+    for end, (_, _, n) in enumerate(lines, 1):  # to each line
+        held += n
+        while held - lines[at][2] >= min_words:
+            held -= lines[at][2]
+            at += 1
+        if held >= min_words:
+            spans[at, end] = held
+    return [(lines[a][0], lines[b - 1][0], n, xxhash.xxh3_128_intdigest(b"\n".join(x[1] for x in lines[a:b]))) for (a, b), n in sorted(spans.items())]
 
 
 def increasing(values: list[int]) -> list[int]:
