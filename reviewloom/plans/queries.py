@@ -268,7 +268,7 @@ def semi_chosen(t):
 
 @query(f"SELECT doc_id, length(text) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY left({sql_collapse('text')}, 24) ORDER BY length(text) DESC, doc_id) AS rn FROM documents) WHERE rn = 1")
 def dup_text_dedup_longest(t):
-    return canonical.keep_longest(t("documents"), F.left(text.text_key(F.col("text")), F.lit(24)), "text", "doc_id").select("doc_id", F.length("text").alias("n_chars"))
+    return canonical.keep_longest(t("documents"), text.text_key(F.col("text")), "text", "doc_id").select("doc_id", F.length("text").alias("n_chars"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_nationkey % 3 = 0 THEN n_name WHEN c_nationkey % 3 = 1 THEN c_mktsegment ELSE coalesce(n_name, 'UNKNOWN') END AS place FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey")

@@ -3,6 +3,7 @@
 import random
 
 from reviewloom.llm import linededup, neardups
+from reviewloom.plans import queries
 
 
 def components(links, nodes):
@@ -80,3 +81,10 @@ def test_common_lines_go_to_the_last_one(spark):
     assert got[1] == ""
     assert got[3] == docs[3][1].split("\n")[2]
     assert got == maximal_blocks(docs)
+
+
+def test_dedup_key_is_the_whole_text(spark, tmp_path):
+    docs = [(1, "a common opening of some length, then one"), (2, "a common opening of some length, then another"), (3, "a common  opening of some length, then one")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in queries.QUERIES["dup_text_dedup_longest"](spark, str(tmp_path)).collect()) == [2, 3]
