@@ -84,7 +84,7 @@ class QualityRules:
         for k in range(3):
             near = stored
             if k:
-                near = stored.filter((distance2(T + "chars", T + "lang", refs, 0) < self.trim_char[k - 1]) & (distance2(T + "bins", T + "lang", refs, 1) < self.trim_word[k - 1]))
+                near = stored.filter((distance2(T + "chars", T + "lang", refs, 0) < self.trim_char[k - 1]) & (F.coalesce(distance2(T + "bins", T + "lang", refs, 1), F.lit(0.0)) < self.trim_word[k - 1]))
             sums = [F.sum(F.get(T + "chars", F.lit(i))).alias(f"c{i}") for i in range(N_CLASSES)]
             width = max(map(len, COMMON_WORDS.values())) + 1
             sums += [F.sum(F.get(T + "bins", F.lit(i))).alias(f"w{i}") for i in range(width)]

@@ -2,7 +2,9 @@
 
 import random
 
-from reviewloom.llm import linededup, neardups
+from pyspark.sql import functions as F
+
+from reviewloom.llm import linededup, neardups, quality
 from reviewloom.plans import queries
 
 
@@ -88,3 +90,13 @@ def test_dedup_key_is_the_whole_text(spark, tmp_path):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     df.write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r.doc_id for r in queries.QUERIES["dup_text_dedup_longest"](spark, str(tmp_path)).collect()) == [2, 3]
+
+
+def test_languages_without_words_are_trimmed(spark):
+    rows = [(i, "some plain words " * 30) for i in range(30)] + [(30, "#$%& 12345 " * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang", F.lit("it"))
+    rules = quality.QualityRules()
+    own = rules.histograms(df).withColumn(quality.T + "n_words", F.size(quality.T + "words"))
+    chars, _ = rules.references(own)[quality.OTHER]
+    assert chars[4] == chars[5] == 0
+    assert chars[0] > 0.5
