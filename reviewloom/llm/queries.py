@@ -47,9 +47,9 @@ def op6_simhash_components(spark, sf_dir):
 
 
 def op7_feistel_pseudonyms(spark, sf_dir):
-    from .pii import pseudonymize
+    from .pii import pseudonymize, run_key
 
-    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), count="n_pii")
+    return pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), run_key(spark), count="n_pii")
 
 
 def op8_line_alignment(spark, sf_dir):

@@ -245,7 +245,7 @@ def test_pseudonyms_keep_formats_and_links(spark):
         ssn = f"{rng.randrange(1, 600):03}-{rng.randrange(1, 99):02}-{rng.randrange(1, 9999):04}"
         rows.append((i, f"card {card} day {day} phone {phone} ip {ip} ssn {ssn} again {card}"))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in pii.pseudonymize(df, count="n").collect()}
+    got = {r.doc_id: r for r in pii.pseudonymize(df, "k", count="n").collect()}
     pattern = r"card (\d{16}) day (\d{4}-\d\d-\d\d) phone (\+1 \(\d{3}\) 555-\d{4}|\+1 \(\d{3}\) \d{3}-\d{4}) ip (\d+\.\d+\.\d+\.\d+) ssn (\d{3}-\d\d-\d{4}) again (\d{16})$"
     images = collections.defaultdict(set)
     for i, t in rows:
@@ -268,7 +268,7 @@ def test_pseudonyms_keep_formats_and_links(spark):
     "t", ["9807915762804490", "999.1.1.1", "1.2.3.4.5", "2023-02-29", "000-12-3456", "666-12-3456", "DE89370400440532013001", "v1.2.3", "12 345 678", "a@b", "deadbeef", "$1\\1", ""]
 )
 def test_what_is_not_valid_stays(spark, t):
-    assert pii.pseudonymize(spark.createDataFrame([(t,)], "text string")).first().text == t
+    assert pii.pseudonymize(spark.createDataFrame([(t,)], "text string"), "k").first().text == t
 
 
 def feistel(key, kind, a, b, left, right):

@@ -51,7 +51,7 @@ PER_ROW = {
     "shards": lambda d, m: shards.write_and_read(d),
     "toxicity": lambda d, m: toxicity.ToxicityModel().score(d, m),
     "simhash": lambda d, m: simhash.classes(d),
-    "pii": lambda d, m: pii.pseudonymize(d, count="n_pii"),
+    "pii": lambda d, m: pii.pseudonymize(d, "k", count="n_pii"),
     "lines": lambda d, m: linededup.dedup(d, removed="removed_lines"),
     "quality": lambda d, m: quality.QualityRules().score(d),
     "ppm": lambda d, m: ppm.score(d),
