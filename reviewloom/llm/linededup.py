@@ -3,18 +3,23 @@
 A passage is a run of neighbouring lines with at least `min_words` words; lines are
 compared without the white space around them, and lines without words do not count.
 From each line starts one shortest such run (the line alone if it is long enough), and at
-each line ends one. Their 128-bit hashes are the rare hashes that documents are matched by:
-a common passage of two documents begins and ends with a common run and each of its lines
-lies in one, so passages are found to their last line, and boilerplate of a few words
-matches nothing. A document is paired with the earliest document that holds a run,
-not with all others: pairs are as many as lines at most, whatever a group's size, and
-all passages that have an earlier holder are still found.
-
-A pair is aligned by patience diff: of the runs that occur once on both sides, the longest
-increasing subsequence anchors the alignment, anchors grow over neighbouring runs that
-also match, and the gaps between anchors are aligned in the same way. What remains, moved
-and repeated passages, is aligned in further rounds against the whole earlier document.
-Aligned blocks are deleted from the later document; the earliest holder keeps them.
+each line ends one; their 128-bit hashes are what documents are matched by. A common
+passage of two documents begins and ends with a common run and each of its lines lies in
+one, so none is missed, and boilerplate of a few words matches nothing.
+
+Pairs: a hash with at most `rare` holders pairs each of them with all earlier ones. Of a
+more frequent one, each holder is paired with the earliest holder: so pairs grow with
+runs and not with the square of a group, and every passage that an earlier document
+holds still has a pair.
+
+A line is shared if it lies in a run that another document holds too. The shared lines of
+a pair, in order, are aligned by patience diff: equal lines at both starts and both ends
+are aligned; of the lines that occur once on either side, the longest increasing
+subsequence is (of several, that whose places are latest, from its end on); the gaps
+between these are aligned in the same way. Neighbouring lines that are aligned with
+neighbouring lines form a block; blocks of at least `min_words` words are deleted from the
+later document. What crosses the alignment (moved passages) or is repeated beyond it
+stays, unless the alignment with another earlier document has it.
 
 Order is by doc_id, then by a hash of the text. Defined results: a null text stays null;
 empty and short texts stay; a document all of whose lines are aligned keeps its row, with
@@ -27,6 +32,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -35,31 +41,38 @@ from pyspark.sql import functions as F
 from .common import column, materialize
 
 MIN_WORDS = 50
+RARE = 8
 T = "__rl_l_"
-_RUNS = "d long, t long, i int, j int, words int, k1 long, k2 long"
+_FOUND = "kind int, d long, t long, a int, b int, k1 long, k2 long, at array<int>, words array<int>, lines array<long>"
+_BLOCKS = "array<struct<a: int, b: int, partner: long, there: int, words: int>>"
 
 
-def runs(text: str, min_words: int) -> list[tuple[int, int, int, int]]:
-    """(first line, last line, words, hash) of the shortest run of at least `min_words` words from each line with words, and of that to each."""
-    lines = [(i, s, len(s.split())) for i, line in enumerate(text.encode().split(b"\n")) if (s := line.strip())]
-    spans, end, held = {}, 0, 0
-    for at, (_, _, n) in enumerate(lines):  # from each line
-        while end < len(lines) and held < min_words:
-            held += lines[end][2]
+def word_lines(text: str) -> tuple[list[int], list[bytes], list[int]]:
+    """Of the lines with words: their numbers, their contents without white space around, their words."""
+    kept = [(i, s) for i, line in enumerate(text.encode().split(b"\n")) if (s := line.strip())]
+    return [i for i, _ in kept], [s for _, s in kept], [len(s.split()) for _, s in kept]
+
+
+def runs(words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """[first, last + 1) of the shortest run of at least `min_words` words from each line, and of that to each, in ranks of lines with words."""
+    spans, end, held = set(), 0, 0
+    for at, n in enumerate(words):  # from each line
+        while end < len(words) and held < min_words:
+            held += words[end]
             end += 1
         if held < min_words:
             break
-        spans[at, end] = held
+        spans.add((at, end))
         held -= n
     at, held = 0, 0
-    for end, (_, _, n) in enumerate(lines, 1):  # to each line
+    for end, n in enumerate(words, 1):  # to each line
         held += n
-        while held - lines[at][2] >= min_words:
-            held -= lines[at][2]
+        while held - words[at] >= min_words:
+            held -= words[at]
             at += 1
         if held >= min_words:
-            spans[at, end] = held
-    return [(lines[a][0], lines[b - 1][0], n, xxhash.xxh3_128_intdigest(b"\n".join(x[1] for x in lines[a:b]))) for (a, b), n in sorted(spans.items())]
+            spans.add((at, end))
+    return sorted(spans)
 
 
 def increasing(values: list[int]) -> list[int]:
@@ -82,56 +95,48 @@ def increasing(values: list[int]) -> list[int]:
     return out[::-1]
 
 
-def patience(seq: list[tuple[int, int, bool]]) -> list[int]:
-    """Indices of the aligned elements of `seq`: (line, line of the earlier document, whether it occurs once there)."""
-    aligned: list[int] = []
-    todo = [(0, len(seq), -1, 1 << 62)]
+def patience(x: list, y: list) -> list[tuple[int, int]]:
+    """Aligned places of two sequences, ascending."""
+    out, todo = [], [(0, len(x), 0, len(y))]
     while todo:
-        lo, hi, low, high = todo.pop()
-        inside = [k for k in range(lo, hi) if low < seq[k][1] < high]
-        count = Counter(seq[k][1] for k in inside)
-        unique = [k for k in inside if seq[k][2] and count[seq[k][1]] == 1]
-        anchors = [unique[x] for x in increasing([seq[k][1] for k in unique])]
-        if not anchors:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and x[a] == y[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and x[b - 1] == y[d - 1]:
+            b, d = b - 1, d - 1
+            out.append((b, d))
+        if a == b or c == d:
             continue
-        grown: list[int] = []
-        for k in anchors:
-            if grown and k <= grown[-1]:
-                continue
-            b = k
-            while b - 1 >= lo and b - 1 > (grown[-1] if grown else lo - 1) and seq[b - 1][0] == seq[b][0] - 1 and seq[b - 1][1] == seq[b][1] - 1 and seq[b - 1][1] > (seq[grown[-1]][1] if grown else low):
-                b -= 1
-            e = k
-            while e + 1 < hi and seq[e + 1][0] == seq[e][0] + 1 and seq[e + 1][1] == seq[e][1] + 1 and seq[e + 1][1] < high:
-                e += 1
-            grown += range(b, e + 1)
-        aligned += grown
-        at, below = lo, low
-        for k in grown:
-            if k > at:
-                todo.append((at, k, below, seq[k][1]))
-            at, below = k + 1, seq[k][1]
-        if at < hi:
-            todo.append((at, hi, below, high))
-    return sorted(set(aligned))
-
-
-def align(matches: list[dict]) -> list[tuple[int, int, int, int]]:
-    """Blocks (first line, last line, first line there, words) of one pair: matches are (i, j, words, p, once)."""
-    rest = sorted(matches, key=lambda m: m["i"])
-    out = []
-    while rest:
-        got = patience([(m["i"], m["p"], m["once"]) for m in rest])
-        if not got:  # only repeated passages are left: in order, the longest sequence that keeps it
-            got = increasing([m["p"] for m in rest])
-        for k in got:
-            m = rest[k]
-            if out and m["i"] <= out[-1][1] + 1 and m["i"] >= out[-1][0] and m["p"] - out[-1][2] == m["i"] - out[-1][0]:
-                out[-1] = (out[-1][0], max(out[-1][1], m["j"]), out[-1][2], out[-1][3])
-            else:
-                out.append((m["i"], m["j"], m["p"], m["words"]))
-        taken = set(got)
-        rest = [m for k, m in enumerate(rest) if k not in taken]
+        there = Counter(y[c:d])
+        place = {v: k for k, v in enumerate(y[c:d], c) if there[v] == 1}
+        here = Counter(v for v in x[a:b] if v in place)
+        both = [(k, place[v]) for k, v in enumerate(x[a:b], a) if here.get(v) == 1]
+        anchors = [both[k] for k in increasing([p for _, p in both])]
+        out += anchors
+        for i, j in [*anchors, (b, d)] if anchors else ():
+            if a < i and c < j:
+                todo.append((a, i, c, j))
+            a, c = i + 1, j + 1
+    return sorted(out)
+
+
+def aligned_blocks(x: dict, y: dict, min_words: int) -> list[tuple[int, int, int, int]]:
+    """(first line, last line, first line there, words) of the blocks of a pair; at, ranks, words, lines of either side."""
+    out, group = [], []
+
+    def close():
+        words = sum(x["words"][i] for i, _ in group)
+        if words >= min_words:
+            out.append((x["at"][group[0][0]], x["at"][group[-1][0]], y["at"][group[0][1]], words))
+
+    for i, j in patience(x["lines"], y["lines"]):
+        if group and not (x["ranks"][i] == x["ranks"][group[-1][0]] + 1 and y["ranks"][j] == y["ranks"][group[-1][1]] + 1):
+            close()
+            group = []
+        group.append((i, j))
+    if group:
+        close()
     return out
 
 
@@ -139,60 +144,112 @@ def _keyed(documents: DataFrame) -> DataFrame:
     return documents.withColumn(T + "d", F.coalesce(F.col("doc_id"), F.lit((1 << 63) - 1))).withColumn(T + "t", F.xxhash64("text"))
 
 
-def blocks(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Aligned blocks: d, t (the later document's doc_id and text hash), blocks array<struct<a, b, partner, there, words>>."""
+def _found(documents: DataFrame, min_words: int) -> DataFrame:
+    """Kind 0: a run and its hash. Kind 1: the lines with words of a document that has a run."""
+
+    def signed(h: int) -> int:
+        return h - (1 << 64) if h >> 63 else h
 
     def find(batches):
+        names = [c.split()[0] for c in _FOUND.split(", ")]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64())]
         for batch in batches:
             rows = []
             for d, t, text in zip(column(batch, "d"), column(batch, "t"), column(batch, "text"), strict=True):
-                for i, j, n, h in runs(text, min_words):
-                    rows.append((d, t, i, j, n, (h >> 64) - (1 << 63), (h & (1 << 64) - 1) - (1 << 63)))
+                at, lines, words = word_lines(text)
+                if spans := runs(words, min_words):
+                    rows.append((1, d, t, None, None, None, None, at, words, [signed(xxhash.xxh3_64_intdigest(s)) for s in lines]))
+                    for a, b in spans:
+                        h = xxhash.xxh3_128_intdigest(b"\n".join(lines[a:b]))
+                        rows.append((0, d, t, a, b, signed(h >> 64), signed(h & (1 << 64) - 1), None, None, None))
+                if len(rows) > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows = []
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["d", "t", "i", "j", "words", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     source = _keyed(documents.select("doc_id", "text").filter(F.col("text").isNotNull())).select(F.col(T + "d").alias("d"), F.col(T + "t").alias("t"), "text")
-    found = materialize(source.mapInArrow(find, _RUNS), "runs")
-    per_doc = found.groupBy("k1", "k2", "d", "t").agg(F.min("i").alias("p"), F.max("i").alias("q"))
-    first = per_doc.groupBy("k1", "k2").agg(F.min(F.struct("d", "t", "p", "q")).alias("o"), F.count("*").alias("holders")).filter("holders > 1")
-    first = first.select("k1", "k2", F.col("o.d").alias("od"), F.col("o.t").alias("ot"), F.col("o.p").alias("p"), (F.col("o.p") == F.col("o.q")).alias("once"))
-    met = found.join(first, ["k1", "k2"]).filter((F.col("d") != F.col("od")) | (F.col("t") != F.col("ot")))
-    by_doc = met.groupBy("d", "t").agg(F.collect_set(F.struct("od", "ot", "i", "j", "words", "p", "once")).alias("m"))
+    return source.mapInArrow(find, _FOUND)
+
+
+def _pairs(met: DataFrame, rare: int) -> DataFrame:
+    """(d, t, od, ot): later documents with the earlier ones that they are aligned with. met: runs with the earliest holder o and the number of holders."""
+    star = met.filter((F.col("d") != F.col("o.d")) | (F.col("t") != F.col("o.t"))).select("d", "t", F.col("o.d").alias("od"), F.col("o.t").alias("ot"))
+    few = met.filter((F.col("holders") > 2) & (F.col("holders") <= rare)).select("k1", "k2", "d", "t").distinct()
+    few = few.groupBy("k1", "k2").agg(F.collect_list(F.struct("d", "t")).alias("all"))  # `rare` at most
+    few = few.select("all", F.explode("all").alias("x")).select(F.col("x.d").alias("d"), F.col("x.t").alias("t"), F.explode(F.filter("all", lambda e: e < F.col("x"))).alias("e"))
+    return star.unionByName(few.select("d", "t", F.col("e.d").alias("od"), F.col("e.t").alias("ot"))).distinct()
+
+
+def blocks(documents: DataFrame, min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
+    """d, t (the later document's doc_id and text hash), blocks array<struct<a, b, partner, there, words>>, gone array<boolean> by line, removed."""
+    found = materialize(_found(documents, min_words), "runs")
+    own = found.filter("kind = 0").select("d", "t", "a", "b", "k1", "k2")
+    held = own.groupBy("k1", "k2", "d", "t").agg(F.count("*")).groupBy("k1", "k2").agg(F.min(F.struct("d", "t")).alias("o"), F.count("*").alias("holders")).filter("holders > 1")
+    met = materialize(own.join(held, ["k1", "k2"]), "met")
+    spans = met.groupBy("d", "t").agg(F.collect_list(F.struct("a", "b")).alias("spans"))  # a document's own runs
+
+    def cut(batches):
+        for batch in batches:
+            kept: list[list] = [[], [], [], []]
+            for spans, at, words, lines in zip(*(column(batch, c) for c in ("spans", "at", "words", "lines")), strict=True):
+                edge = np.zeros(len(at) + 1, np.int64)
+                np.add.at(edge, [s["a"] for s in spans], 1)
+                np.add.at(edge, [s["b"] for s in spans], -1)
+                ranks = np.flatnonzero(np.cumsum(edge)[:-1])
+                for out, own in zip(kept, (np.array(at)[ranks], ranks, np.array(words)[ranks], np.array(lines)[ranks]), strict=True):
+                    out.append(own)
+            kinds = [pa.list_(k) for k in (pa.int32(), pa.int32(), pa.int32(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("t"), *(pa.array(x, k) for x, k in zip(kept, kinds, strict=True))], names=["d", "t", "at", "ranks", "words", "lines"])
+
+    lines = found.filter("kind = 1").select("d", "t", "at", "words", "lines").dropDuplicates(["d", "t"]).join(spans, ["d", "t"])
+    shared = materialize(lines.mapInArrow(cut, "d long, t long, at array<int>, ranks array<int>, words array<int>, lines array<long>"), "shared")
+    side = F.struct("at", "ranks", "words", "lines")
+    met_pairs = _pairs(met, rare).join(shared.select("d", "t", side.alias("x")), ["d", "t"]).join(shared.select(F.col("d").alias("od"), F.col("t").alias("ot"), side.alias("y")), ["od", "ot"])
 
     def run(batches):
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("partner", pa.int64()), ("there", pa.int32()), ("words", pa.int32())]))
         for batch in batches:
-            out = []
-            for matches in column(batch, "m"):
-                pairs: dict = {}
-                for m in matches:
-                    pairs.setdefault((m["od"], m["ot"]), []).append(m)
-                own = [{"a": a, "b": b, "partner": y[0], "there": p, "words": n} for y, ms in sorted(pairs.items()) for a, b, p, n in align(ms)]
-                out.append(sorted(own, key=lambda x: (x["a"], x["b"])))
-            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("t"), pa.array(out, kind)], names=["d", "t", "blocks"])
-
-    return by_doc.mapInArrow(run, "d long, t long, blocks array<struct<a: int, b: int, partner: long, there: int, words: int>>")
-
-
-def dedup(documents: DataFrame, min_words: int = MIN_WORDS, removed: str | None = None) -> DataFrame:
-    """The documents without their aligned blocks; `removed` names a column for the number of lines deleted."""
-    cut = blocks(documents, min_words)
-    # overlapping blocks become disjoint spans, so that a copied document is one span
-    spans = F.expr("""aggregate(blocks, cast(array() as array<struct<a: int, b: int>>), (s, x) -> if(size(s) > 0 and x.a <= element_at(s, -1).b + 1,
-        concat(slice(s, 1, size(s) - 1), array(struct(element_at(s, -1).a as a, greatest(element_at(s, -1).b, x.b) as b))), concat(s, array(struct(x.a as a, x.b as b)))))""")
-    cut = cut.select(F.col("d").alias(T + "d"), F.col("t").alias(T + "t"), spans.alias(T + "s"))
+            for k in range(batch.num_rows):
+                x, y, partner = (batch.column(c)[k].as_py() for c in ("x", "y", "od"))
+                if got := aligned_blocks(x, y, min_words):
+                    rows = [{"a": a, "b": b, "partner": partner, "there": p, "words": n} for a, b, p, n in got]
+                    yield pa.RecordBatch.from_pylist([{"d": batch.column("d")[k].as_py(), "t": batch.column("t")[k].as_py(), "blocks": rows}], pa.schema([("d", pa.int64()), ("t", pa.int64()), ("blocks", _arrow_blocks())]))
+
+    by_doc = met_pairs.select("d", "t", "od", "x", "y").mapInArrow(run, f"d long, t long, blocks {_BLOCKS}")
+    by_doc = by_doc.groupBy("d", "t").agg(F.sort_array(F.flatten(F.collect_list("blocks"))).alias("blocks"))
+
+    def mark(batches):
+        for batch in batches:
+            masks, removed = [], []
+            for own in column(batch, "blocks"):
+                edge = np.zeros(max(x["b"] for x in own) + 2, np.int64)
+                np.add.at(edge, [x["a"] for x in own], 1)
+                np.add.at(edge, [x["b"] + 1 for x in own], -1)
+                masks.append(np.cumsum(edge)[:-1] > 0)
+                removed.append(int(masks[-1].sum()))
+            yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("t"), batch.column("blocks"), pa.array(masks, pa.list_(pa.bool_())), pa.array(removed, pa.int64())], names=["d", "t", "blocks", "gone", "removed"])
+
+    return by_doc.mapInArrow(mark, f"d long, t long, blocks {_BLOCKS}, gone array<boolean>, removed long")
+
+
+def _arrow_blocks() -> pa.DataType:
+    return pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32()), ("partner", pa.int64()), ("there", pa.int32()), ("words", pa.int32())]))
+
+
+def dedup(documents: DataFrame, min_words: int = MIN_WORDS, removed: str | None = None, rare: int = RARE) -> DataFrame:
+    """The documents without their aligned blocks; `removed` names a column for the number of lines deleted (lines without words inside a block go with it)."""
+    cut = blocks(documents, min_words, rare).select(F.col("d").alias(T + "d"), F.col("t").alias(T + "t"), F.col("gone").alias(T + "g"), F.col("removed").alias(T + "n"))
     out = _keyed(documents).join(cut, [T + "d", T + "t"], "left")
-    kept = F.expr(f"array_join(filter(split(text, '\\n', -1), (l, i) -> not exists({T}s, s -> i between s.a and s.b)), '\\n')")
-    out = out.withColumn(T + "x", F.when(F.col(T + "s").isNull(), F.col("text")).otherwise(kept))
+    kept = F.expr(f"array_join(filter(split(text, '\\n', -1), (l, i) -> not coalesce(get({T}g, i), false)), '\\n')")
+    out = out.withColumn(T + "x", F.when(F.col(T + "g").isNull(), F.col("text")).otherwise(kept))
     columns = []
     for c in documents.columns:
         if c == "text":
             columns.append(F.col(T + "x").alias("text"))
         elif c == "n_chars":  # it is the length of the text
-            columns.append(F.when(F.col(T + "s").isNull(), F.col("n_chars")).otherwise(F.length(T + "x").cast(documents.schema["n_chars"].dataType)).alias("n_chars"))
+            columns.append(F.when(F.col(T + "g").isNull(), F.col("n_chars")).otherwise(F.length(T + "x").cast(documents.schema["n_chars"].dataType)).alias("n_chars"))
         else:
             columns.append(F.col(f"`{c}`"))
     if removed:
-        columns.append(F.when(F.col(T + "s").isNull(), F.lit(0)).otherwise(F.expr(f"aggregate({T}s, 0, (n, s) -> n + s.b - s.a + 1)")).cast("long").alias(removed))
+        columns.append(F.coalesce(F.col(T + "n"), F.lit(0)).cast("long").alias(removed))
     return out.select(*columns)

@@ -8,6 +8,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -287,24 +288,72 @@ def test_feistel_against_python(spark):
     assert pii.pseudonymize(spark.createDataFrame([("ip 10.0.0.1 x",)], "text string"), "k").first().text == f"ip {want} x"
 
 
-def brute_lines(docs, least=50):
-    """Every run of at least `least` words that an earlier document holds goes."""
-    owner, own = {}, {}
-    for d, t in docs:
-        lines = [(i, x.strip()) for i, x in enumerate(t.split("\n")) if x.strip()]
-        own[d] = []
-        for a in range(len(lines)):
-            n = 0
-            for b in range(a, len(lines)):
-                n += len(lines[b][1].split())
-                if n >= least:
-                    key = "\n".join(x for _, x in lines[a : b + 1])
-                    own[d].append((lines[a][0], lines[b][0], key))
-                    owner.setdefault(key, d)
-                    break
+def plain_alignment(x, y):
+    """Patience diff of two lists, by recursion: pairs of places."""
+    head = 0
+    while head < min(len(x), len(y)) and x[head] == y[head]:
+        head += 1
+    if head:
+        return [(k, k) for k in range(head)] + [(i + head, j + head) for i, j in plain_alignment(x[head:], y[head:])]
+    tail = 0
+    while tail < min(len(x), len(y)) and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    if tail:
+        return plain_alignment(x[:-tail], y[:-tail]) + [(len(x) - k, len(y) - k) for k in range(tail, 0, -1)]
+    both = [(i, y.index(v)) for i, v in enumerate(x) if x.count(v) == 1 and y.count(v) == 1]
+    if not both:
+        return []
+    longest = []
+    for k, (_, j) in enumerate(both):
+        longest.append(1 + max([longest[q] for q in range(k) if both[q][1] < j], default=0))
+    chosen, want, limit = [], max(longest), len(both)
+    while want:
+        limit = max(k for k in range(limit) if longest[k] == want)
+        chosen.insert(0, both[limit])
+        want -= 1
+    out, a, c = [], 0, 0
+    for i, j in [*chosen, (len(x), len(y))]:
+        out += [(a + p, c + q) for p, q in plain_alignment(x[a:i], y[c:j])]
+        if i < len(x):
+            out.append((i, j))
+        a, c = i + 1, j + 1
+    return out
+
+
+def brute_lines(docs, least=50, rare=8):
+    """Blocks of `least` words or more that are aligned with an earlier document go. docs: in order, with different ids."""
+    lines = {d: [(i, x.strip()) for i, x in enumerate(t.split("\n")) if x.strip()] for d, t in docs}
+    size = lambda own: sum(len(x.split()) for _, x in own)
+    held = collections.defaultdict(list)
+    for d, own in lines.items():
+        spans = set()
+        for a in range(len(own)):
+            spans |= {(a, next((b for b in range(a + 1, len(own) + 1) if size(own[a:b]) >= least), None))}
+            spans |= {(next((b for b in range(a, -1, -1) if size(own[b : a + 1]) >= least), None), a + 1)}
+        for a, b in spans:
+            if a is not None and b is not None:
+                held[tuple(x for _, x in own[a:b])].append((d, a, b))
+    order = [d for d, _ in docs]
+    shared, partners = collections.defaultdict(set), collections.defaultdict(set)
+    for places in held.values():
+        ids = sorted({d for d, _, _ in places}, key=order.index)
+        if len(ids) > 1:
+            for d, a, b in places:
+                shared[d] |= set(range(a, b))
+            for k, d in enumerate(ids):
+                partners[d] |= set(ids[:k] if len(ids) <= rare else ids[: min(k, 1)])
     out = {}
     for d, t in docs:
-        gone = {k for i, j, key in own[d] if owner[key] != d for k in range(i, j + 1)}
+        gone, own = set(), lines[d]
+        for e in partners[d]:
+            x, y = sorted(shared[d]), sorted(shared[e])
+            block = []
+            for i, j in [*((x[i], y[j]) for i, j in plain_alignment([own[k][1] for k in x], [lines[e][k][1] for k in y])), (-9, -9)]:
+                if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
+                    if size([own[k] for k, _ in block]) >= least:
+                        gone |= set(range(own[block[0][0]][0], own[block[-1][0]][0] + 1))
+                    block = []
+                block.append((i, j))
         out[d] = "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone) if gone else t
     return out
 
@@ -318,13 +367,50 @@ def test_line_dedup_against_brute_force(spark):
     assert got == brute_lines(docs)
 
 
+def test_moved_passages_against_brute_force(spark):
+    rng = random.Random(16)
+    line = lambda n: " ".join(f"m{rng.randrange(10**6)}" for _ in range(n))
+    passages = [[line(rng.randint(8, 40)) for _ in range(rng.randint(2, 6))] for _ in range(12)]
+    docs = []
+    for d in range(90):
+        own = []
+        for p in rng.sample(passages, rng.randint(0, 4)):
+            own += [line(rng.randint(1, 30)) for _ in range(rng.randint(0, 2))] + p[rng.randint(0, 1) :]
+        docs.append((d, "\n".join(own)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    results = []
+    for rare in (2, 4, 100):
+        results.append({r.doc_id: r.text for r in linededup.dedup(df, rare=rare).collect()})
+        assert results[-1] == brute_lines(docs, rare=rare)
+
+
+def test_what_crosses_the_alignment_stays(spark):
+    a, b, c = (["\n".join(f"{x}{k} " * 20 for k in range(n))][0] for x, n in (("a", 3), ("b", 5), ("c", 4)))
+    docs = [(1, f"{a}\n{b}"), (2, f"{b}\n{a}"), (3, f"{c}\nown words\n{c}"), (4, c), (5, f"{c}\nother words\n{c}\nend\n{c}")]
+    got = {r.doc_id: r.text.strip() for r in linededup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[2] == a.strip()  # the longer passage is aligned, the other one moved
+    assert got[3] == docs[2][1].strip()
+    assert got[4] == ""
+    assert got[5].split("\n")[0].strip() == "other words"
+    assert got[5].count("c0 ") == 20  # two are aligned with those of document 3, the third is a repeat
+
+
 def test_patience():
     assert linededup.increasing([3, 1, 2, 9, 5, 6]) == [1, 2, 4, 5]
-    # unique anchors 10 and 30 in order, 20 moved before both; the repeated 11 is reached by growing from 10
-    seq = [(0, 20, True), (1, 10, True), (2, 11, False), (3, 30, True), (4, 11, False)]
-    assert linededup.patience(seq) == [1, 2, 3]
-    blocks = linededup.align([{"i": i, "j": i, "words": 50, "p": p, "once": once} for i, p, once in seq])
-    assert sorted(k for a, b, _, _ in blocks for k in range(a, b + 1)) == [0, 1, 2, 3, 4]
+    rng = random.Random(1)
+    for _ in range(3000):
+        x, y = (rng.choices(range(rng.choice([4, 12, 40])), k=rng.randint(0, 14)) for _ in range(2))
+        assert linededup.patience(x, y) == plain_alignment(x, y)
+
+
+def test_many_repeated_lines_take_seconds(spark):
+    long = "\n".join(["the same words " * 17] * 100_000)
+    mixed = "\n".join(f"{'the same words ' * 17}\nline {k}" for k in range(50_000))
+    docs = [(1, long), (2, long), (3, "the same words " * 17), (4, mixed), (5, long + "\nend"), (6, mixed)]
+    began = time.time()
+    got = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()}
+    assert (got[2], got[3], got[5], got[6]) == ("", "", "end", "")
+    assert time.time() - began < 60
 
 
 def test_toxicity_on_held_out_documents(spark):
@@ -438,18 +524,23 @@ def test_ppm_probabilities_sum_to_one():
 
 @needs_tables
 def test_pipeline_keeps_what_its_stages_decide(spark):
+    spark.conf.set(pii.KEY_SETTING, "of the test")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = {r.doc_id for r in QUERIES["op9_quality_divergence"](spark, SF).filter("kept").collect()}
     rows = sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id in kept)
     lines = brute_lines(rows)
-    prints = {i: plain_fingerprint(t, 5) for i, t in lines.items()}
-    ids = sorted(prints)
-    root = components([(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 2], ids)
+    sets = {}
+    for i, t in lines.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    ids = sorted(sets)
+    root = components([(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])], ids)
     left = [(i, lines[i]) for i in ids if root[i] == i]
-    private = {r.doc_id: r.text for r in pii.pseudonymize(spark.createDataFrame(left, "doc_id long, text string")).collect()}
+    private = {r.doc_id: r.text for r in pii.pseudonymize(spark.createDataFrame(left, "doc_id long, text string"), "of the test").collect()}
     tokens = encoder.load(encoder.default_tokenizer())
     want = {i: len(tokens.encode(t, add_special_tokens=False).ids) + 1 for i, t in private.items()}
     got = collections.Counter()
     for r in corpus_pipeline.run(spark, SF).collect():
         got[r.doc_id] += r.length
+    spark.conf.unset(pii.KEY_SETTING)
     assert got == want
