@@ -1,14 +1,15 @@
 """Exact token ids of a public tokenizers file, with words remembered.
 
-The files used here (normalizer: NFC, white space to one space, lower case; splits
-that never hold white space) encode a text as the concatenation of its words'
+A file with the rules below (normalizer: NFC, white space to one space, lower case; splits
+that never hold white space) encodes a text as the concatenation of its words'
 encodings: ASCII white space composes with nothing and separates all splits. So a
 word seen before needs no second encoding. The memo is bounded; what falls out of
-it is encoded again.
+it is encoded again. Files with any other rule are recognized, and whole texts are given to the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from itertools import chain
@@ -26,6 +27,19 @@ _simple = re.compile(f"[\t-\r -~×÷‐-‧{_LETTERS}]*").fullmatch
 #: The tokenizer's own splits, for simple texts in lower case.
 _splits = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\\s0-9{_LETTERS}]+").findall
 SPECIAL = "<|"
+#: The rules under which words may be encoded apart, as tokenizers files state them.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 MEMO_WORDS = 100_000
 MEMO_PARTS = 600_000
 LONGEST_REMEMBERED = 64
@@ -47,6 +61,14 @@ def load(path: str):
     return tok
 
 
+def word_rules(tokenizer) -> bool:
+    """Whether the file has exactly the rules that this module relies on; its special tokens must hold no white space and show by SPECIAL."""
+    own = json.loads(tokenizer.to_str())
+    plain = {"single_word": False, "lstrip": False, "rstrip": False, "normalized": False}
+    added = all(SPECIAL in t["content"] and words(t["content"]) == [t["content"]] and all(t[k] == v for k, v in plain.items()) for t in own["added_tokens"])
+    return added and all(own.get(k) == v for k, v in RULES.items()) and all(own["model"].get(k) == v for k, v in MODEL.items())
+
+
 class WordEncoder:
     """Texts to ids (little-endian unsigned 32-bit), as the tokenizers library gives them.
 
@@ -59,6 +81,7 @@ class WordEncoder:
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS, memo_parts: int = MEMO_PARTS):
         self.tokenizer = load(path)
+        self.by_words = word_rules(self.tokenizer)
         self.memo_words, self.memo_parts = memo_words, memo_parts
         self.words: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
@@ -107,6 +130,8 @@ class WordEncoder:
         return [b"".join(map(look.__getitem__, ws)) for ws in split]
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if not self.by_words:
+            return self._encode_each(texts)
         plain = [bool(_simple(t)) and SPECIAL not in t for t in texts]
         a = iter(self._simple([t for t, p in zip(texts, plain, strict=True) if p]))
         b = iter(self._other([t for t, p in zip(texts, plain, strict=True) if not p]))

@@ -57,6 +57,50 @@ def test_codec_equals_the_library(tok, texts):
     assert own.reused > 0
 
 
+def plain_file(tmp_path, splits):
+    """A small BPE over bytes, written by hand: with splits at white space kept in front, or without any split."""
+    from tokenizers import Tokenizer, decoders, models, pre_tokenizers
+
+    vocab = {c: i for i, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}
+    merges = [("a", "l"), ("al", "p"), ("h", "a"), ("alp", "ha"), ("Ġ", "b"), ("e", "t"), ("a", ","), ("Ġb", "et"), ("w", "w"), ("ww", "ww"), ("Ġ", "Ġ")]
+    for a, b in merges:
+        vocab.setdefault(a + b, len(vocab))
+    t = Tokenizer(models.BPE(vocab=vocab, merges=merges))
+    t.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=splits)
+    t.decoder = decoders.ByteLevel()
+    t.add_special_tokens(["<|endoftext|>"])
+    t.save(f"{tmp_path}/plain{splits}.json")
+    return f"{tmp_path}/plain{splits}.json"
+
+
+@pytest.mark.parametrize("kind", ["byte level", "by hand", "without splits"])
+def test_codec_with_other_files(texts, tmp_path, kind):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json") if kind == "byte level" else plain_file(tmp_path, kind == "by hand")
+    rng = random.Random(5)
+    long = ["".join(rng.choices(ODD, k=rng.randint(300, 4000))) for _ in range(60)] + ["a  \n\n b" * 2000, "<|endoftext|>" * 900, "x" * 9000 + " y" + "z" * 9000]
+    mine = [*texts[:200], *long, *texts[1500:]]
+    own = chunked_bpe.ChunkCodec(path, memo_bytes=2_000_000)
+    assert not own.encoder.by_words
+    got = [x for i in range(0, len(mine), 60) for x in own.encode(mine[i : i + 60])]
+    want = [packed(e.ids) for e in own.tokenizer.encode_batch(mine, add_special_tokens=False)]
+    assert got == want
+    assert encoder.WordEncoder(path).encode(mine) == want
+    assert own.reused > 0
+    assert kind != "without splits" or own.merged > 0  # no join can agree: whole texts are encoded
+
+
+def test_joins_widen_until_they_agree(tok):
+    rng = random.Random(6)
+    mine = ["".join(rng.choices(["a", "b ", " ", "<|endoftext|>", "c d e f ", "word"], k=rng.choice([50, 900, 3000]))) for _ in range(60)] + ["w" * 50_000, "a b " * 9000]
+    own = chunked_bpe.ChunkCodec(encoder.default_tokenizer())
+    assert own.encoder.by_words
+    assert own.encode(mine) == [packed(e.ids) for e in tok.encode_batch(mine, add_special_tokens=False)]
+    assert own.widened > 0
+    assert own.merged > 0
+
+
 def test_cuts_follow_the_content():
     rng = random.Random(2)
     passage = bytes(rng.choices(range(97, 123), k=20_000))
