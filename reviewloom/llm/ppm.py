@@ -8,11 +8,13 @@ next shorter context (method C). There, symbols that were possible in a longer c
 are excluded, from counts and from q. Below the empty context all remaining symbols are
 alike. If nothing remains to escape to, the escape's share is not kept back.
 
-All counts are over all training documents, summed by key before they meet. Contexts of
-two bytes and fewer are all kept (2^16 of them at most), those of three bytes if they
-hold at least one in 2^15 of all symbols, so at most 2^15 of them; others start at two.
-With that bound the trie's probabilities fit a table of a row a context, which is built
-once and broadcast (at most 100 MB), and a text is scored by three array lookups a byte.
+All counts are over all training documents, summed by key before they meet, and every
+context that was counted is used. Contexts of two bytes and fewer (2^16 of them at most),
+and those of three bytes that hold at least one in 2^15 of all symbols, so at most 2^15 of
+them, are a table of a row of probabilities each, which is built once and broadcast (at most 100 MB): a
+text's symbols after these cost three array lookups. The symbols after other contexts
+of three bytes are grouped by context in each task and joined to the contexts' counts,
+which are as many as the corpus has; contexts never counted start at two bytes.
 
 The baseline needs each word's training count. Words that make up at least one in 50,000
 of the tokens, so at most 50,000 of them, are broadcast. For the others, a task groups
@@ -125,7 +127,7 @@ class Trie:
         where2[ctx2] = np.arange(len(ctx2))
         for k, c in enumerate(ctx3.tolist()):
             rows[256 + len(ctx2) + k] = np.log10(probabilities([n3[k], n2[where2[c & 65535]], n1[c & 255], n0]))
-        self.rows = rows
+        self.rows, self.three_from = rows, 256 + len(ctx2)
         #: row of a context of two bytes, or of its last byte
         self.of2 = np.where(where2 < len(ctx2), 256 + where2, np.arange(1 << 16) & 255).astype(np.int32)
         #: for the first two of three bytes, a line of `of3`: the row by the third byte; the line beyond is for pairs never seen
@@ -134,15 +136,38 @@ class Trie:
         self.of3[:-1] = self.of2[((ctx2 & 255) << 8)[:, None] | np.arange(256)[None]]
         self.of3[where2[ctx3 >> 8], ctx3 & 255] = 256 + len(ctx2) + np.arange(len(ctx3))
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each text."""
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """log10 probability of each text's symbols after contexts that the table has; of the others, the text's number and context << 9 | symbol."""
         s, starts = symbols(texts)
         at = positions(len(s), starts)
         a, b, c = s[at - 3], s[at - 2], s[at - 1]
         line = self.line[a << 8 | b]
         row = np.where(line < len(self.of3) - 1, self.of3[line, c], self.of2[b << 8 | c])
         p = self.rows[row, s[at]].astype(np.float64)
-        return np.add.reduceat(p, starts - 3 * np.arange(len(starts))) if len(starts) else p
+        rest = np.flatnonzero(row < self.three_from)
+        p[rest] = 0
+        begin = starts - 3 * np.arange(len(starts))
+        doc = np.searchsorted(begin, rest, side="right") - 1
+        return np.add.reduceat(p, begin) if len(starts) else p, doc, a[rest] << 25 | b[rest] << 17 | c[rest] << 9 | s[at[rest]]
+
+
+class Shorter:
+    """Counts of the contexts of two bytes and fewer, for the contexts of three that the table has not."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.counts = keys[order], counts[order]
+        self.n1 = np.zeros((256, SYMBOLS))
+        np.add.at(self.n1, (keys >> 9 & 255, keys & 511), counts)
+        self.n0 = self.n1.sum(axis=0)
+
+    def logs(self, context: int, seen: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 probabilities of all symbols after three bytes, where `seen` symbols have these counts."""
+        n3, n2 = np.zeros(SYMBOLS), np.zeros(SYMBOLS)
+        n3[seen] = counts
+        i, j = np.searchsorted(self.keys, [(context & 65535) << 9, ((context & 65535) + 1) << 9])
+        n2[self.keys[i:j] & 511] = self.counts[i:j]
+        return np.log10(probabilities([n3, n2, self.n1[context & 255], self.n0]))
 
 
 def prepared(text: str) -> bytes:
@@ -195,38 +220,57 @@ def counts(documents: DataFrame) -> DataFrame:
     return documents.select("text").mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
-def train(counted: DataFrame) -> Trie:
-    """The trie of a stored table of counts."""
+def train(counted: DataFrame, contexts: int = CONTEXTS3) -> tuple[Trie, Shorter, DataFrame]:
+    """Of a stored table of counts: the table of frequent contexts, the counts of shorter ones, and the counts of the others (c, seen)."""
     grams = counted.filter("kind = 1")
     total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     two = grams.groupBy(F.col("key").bitwiseAND((1 << 25) - 1).alias("key")).agg(F.sum("n").alias("n")).toArrow()
-    often = grams.groupBy(F.shiftright("key", 9).alias("c")).agg(F.sum("n").alias("m")).filter(F.col("m") * CONTEXTS3 >= total).select("c")
+    often = grams.groupBy(F.shiftright("key", 9).alias("c")).agg(F.sum("n").alias("m")).filter(F.col("m") * contexts >= total).select("c")
     three = grams.withColumn("c", F.shiftright("key", 9)).join(often, "c", "left_semi").select("key", "n").toArrow()
     of = lambda t: (t["key"].to_numpy(), t["n"].to_numpy().astype(float))
-    return Trie(of(two), of(three))
+    others = grams.withColumn("c", F.shiftright("key", 9)).join(often, "c", "left_anti")
+    others = others.groupBy("c").agg(F.collect_list(F.struct(F.col("key").bitwiseAND(511).cast("int").alias("symbol"), "n")).alias("seen"))  # 257 symbols at most
+    return Trie(of(two), of(three)), Shorter(*of(two)), others
 
 
-def score(documents: DataFrame, folds: int = 7, part: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
+def score(documents: DataFrame, folds: int = 7, part: int = 2, contexts: int = CONTEXTS3) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document. `contexts` bounds the broadcast table alone."""
     spark = documents.sparkSession
     docs = doc_texts(documents).withColumn("held_out", held_out("doc_id", folds, part))
     counted = materialize(counts(docs.filter(~F.col("held_out"))), "counts")
     known = counted.filter("kind = 0")
     n_train, n_types = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     head = known.filter(F.col("n") * HEAD >= n_train).select("key", "n").orderBy("key").toArrow()
-    shared = spark.sparkContext.broadcast((train(counted), head["key"].to_numpy(), head["n"].to_numpy()))
+    trie, shorter, others = train(counted, contexts)
+    shared = spark.sparkContext.broadcast((trie, head["key"].to_numpy(), head["n"].to_numpy()))
+    shared_shorter = spark.sparkContext.broadcast(shorter)
 
     def run(batches):
         trie, head_keys, head_counts = shared.value
         head_logs = np.log10(head_counts + 1.0)
         hashes: dict[bytes, int] = {}
-        base, at = TaskContext.get().partitionId() << 40, 0
+        base, at = TaskContext.get().partitionId() << 32, 0
+        cold: list[tuple] = []
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
         names = ["kind", "key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "docs"]
 
         def rows(n, **values):
             return pa.RecordBatch.from_arrays([values[c] if c in values else pa.nulls(n, k) for c, k in zip(names, kinds, strict=True)], names=names)
 
+        def after_others():
+            """Kind 2: a context that the table has not, with the documents and symbols that it stands before."""
+            docs, grams = (np.concatenate(x) for x in zip(*cold, strict=True))
+            cold.clear()
+            posting = docs << 9 | grams & 511
+            order = np.lexsort((posting, grams >> 9))
+            context, posting = grams[order] >> 9, posting[order]
+            first = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (posting[1:] != posting[:-1])])
+            packed = np.stack([posting[first], np.diff(np.r_[first, len(posting)])], axis=1).astype("<i8").tobytes()
+            context = context[first]
+            begin = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+            cuts = [*(begin * 16).tolist(), len(packed)]
+            return rows(len(begin), kind=pa.array(np.full(len(begin), 2, np.int32)), key=pa.array(context[begin]), docs=pa.array([packed[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary()))
+
         def hashed(ws: list[bytes]) -> list[int]:
             for w in set(ws).difference(hashes):
                 hashes[w] = word_hash(w)
@@ -246,7 +290,12 @@ def score(documents: DataFrame, folds: int = 7, part: int = 2) -> DataFrame:
                 hit = head_keys[where] == h if len(head_keys) else np.zeros(len(h), bool)
                 sums = np.bincount(doc[hit], head_logs[where[hit]], len(own))
                 keys = base + at + np.arange(len(own))
-                yield rows(len(own), kind=pa.array(np.zeros(len(own), np.int32)), key=pa.array(keys), doc_id=ids.slice(i, j - i), held_out=held.slice(i, j - i), n_tokens=pa.array(n), n_known=pa.array(np.bincount(doc[hit], minlength=len(own))), base=pa.array(sums), score=pa.array(trie.score(own)))
+                logs, cold_doc, grams = trie.score(own)
+                if len(grams):
+                    cold.append((keys[cold_doc], grams))
+                    if sum(len(g) for _, g in cold) > 2_000_000:
+                        yield after_others()
+                yield rows(len(own), kind=pa.array(np.zeros(len(own), np.int32)), key=pa.array(keys), doc_id=ids.slice(i, j - i), held_out=held.slice(i, j - i), n_tokens=pa.array(n), n_known=pa.array(np.bincount(doc[hit], minlength=len(own))), base=pa.array(sums), score=pa.array(logs))
                 at += len(own)
                 rest, rest_doc = h[~hit], doc[~hit]
                 if len(rest):
@@ -262,6 +311,9 @@ def score(documents: DataFrame, folds: int = 7, part: int = 2) -> DataFrame:
                     packed = postings.tobytes()
                     yield rows(len(begin), kind=pa.array(np.ones(len(begin), np.int32)), key=pa.array(word[begin]), docs=pa.array([packed[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary()))
 
+        if cold:
+            yield after_others()
+
     schema = "kind int, key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, docs binary"
     stored = materialize(docs.mapInArrow(run, schema), "scores")
     lists = stored.filter("kind = 1").select("key", "docs")
@@ -277,8 +329,27 @@ def score(documents: DataFrame, folds: int = 7, part: int = 2) -> DataFrame:
             keys, own = np.unique(flat[:, 0], return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(own, logs)), pa.array(np.bincount(own, flat[:, 1]).astype(np.int64))], names=["key", "tail", "tail_known"])
 
+    def add_contexts(batches):
+        for batch in batches:
+            contexts, packed, seen = column(batch, "key"), column(batch, "docs"), batch.column("seen")
+            if not contexts:
+                continue
+            number = {c: k for k, c in enumerate(dict.fromkeys(contexts))}
+            logs: list = [None] * len(number)
+            for k, c in enumerate(contexts):
+                if logs[number[c]] is None:
+                    own = seen[k].values
+                    of = (lambda f, own=own: own.field(f).to_numpy() if own is not None else [])
+                    logs[number[c]] = shared_shorter.value.logs(c, of("symbol"), of("n"))
+            n = np.array([len(x) // 16 for x in packed])
+            flat = np.frombuffer(b"".join(packed), "<i8").reshape(-1, 2)
+            row = np.repeat([number[c] for c in contexts], n)
+            keys, own = np.unique(flat[:, 0] >> 9, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(own, np.array(logs)[row, flat[:, 0] & 511] * flat[:, 1]))], names=["key", "rest"])
+
     tail = lists.join(known.select("key", "n"), "key").select("n", "docs").mapInArrow(add_up, "key long, tail double, tail_known long")
-    tail = tail.groupBy("key").agg(F.sum("tail").alias("tail"), F.sum("tail_known").alias("tail_known"))
+    rest = stored.filter("kind = 2").select("key", "docs").join(others.withColumnRenamed("c", "key"), "key", "left").select("key", "docs", "seen").mapInArrow(add_contexts, "key long, rest double")
+    tail = tail.unionByName(rest, allowMissingColumns=True).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("tail", "tail_known", "rest")])
     out = stored.filter("kind = 0").drop("kind", "docs").join(tail, "key", "left")
     per_token = float(np.log10(n_train + (n_types + 1)))
     return out.select(
@@ -288,5 +359,5 @@ def score(documents: DataFrame, folds: int = 7, part: int = 2) -> DataFrame:
         (F.col("n_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("tail", F.lit(0.0)) - F.col("n_tokens") * per_token).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )

@@ -516,11 +516,9 @@ def test_neighbours_against_all_distances(spark):
 
 def plain_ppm(train):
     grams = [collections.defaultdict(collections.Counter) for _ in range(4)]
-    total = 0
     for b in train:
         s = [0, 0, 0, *b, 256]
         for i in range(3, len(s)):
-            total += 1
             for o in range(4):
                 grams[o][tuple(s[i - o : i])][s[i]] += 1
 
@@ -528,8 +526,6 @@ def plain_ppm(train):
         out, p = set(), 1.0
         for o in (3, 2, 1, 0):
             c = ctx[3 - o :]
-            if o == 3 and sum(grams[3][c].values()) * ppm.CONTEXTS3 < total:
-                continue
             x = {s: n for s, n in grams[o][c].items() if s not in out}
             if not x:
                 continue
@@ -543,10 +539,11 @@ def plain_ppm(train):
     return lambda b: sum(math.log10(prob(tuple(s[i - 3 : i]), s[i])) for s in [[0, 0, 0, *b, 256]] for i in range(3, len(s)))
 
 
-def test_ppm_against_plain_counts(spark):
+@pytest.mark.parametrize("contexts", [ppm.CONTEXTS3, 40, 1])
+def test_ppm_against_plain_counts(spark, contexts):
     rng = random.Random(10)
     docs = [(i, " ".join(rng.choices(["Alpha", "beta", "gamma", "é", "delta.", "x"], k=rng.randint(0, 40)))) for i in range(60)] + [(100, None), (101, "zzz \u0000 ÿ new")]
-    got = {r.doc_id: r for r in ppm.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    got = {r.doc_id: r for r in ppm.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), contexts=contexts).collect()}
     low = {i: (t or "").encode().lower() for i, t in docs}
     train = [b for i, b in low.items() if zlib.crc32(str(i).encode()) % 7 != 2]
     score = plain_ppm(train)
