@@ -343,9 +343,12 @@ def score(documents: DataFrame, folds: int = 7, part: int = 2, contexts: int = C
                     logs[number[c]] = shared_shorter.value.logs(c, of("symbol"), of("n"))
             n = np.array([len(x) // 16 for x in packed])
             flat = np.frombuffer(b"".join(packed), "<i8").reshape(-1, 2)
-            row = np.repeat([number[c] for c in contexts], n)
-            keys, own = np.unique(flat[:, 0] >> 9, return_inverse=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.bincount(own, np.array(logs)[row, flat[:, 0] & 511] * flat[:, 1]))], names=["key", "rest"])
+            row = np.repeat(np.arange(len(contexts)), n)
+            doc = flat[:, 0] >> 9
+            value = np.array(logs)[np.array([number[c] for c in contexts])[row], flat[:, 0] & 511] * flat[:, 1]
+            # a row for each context and document: the sums over contexts are left to the grouping, which combines them in each task
+            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (doc[1:] != doc[:-1])])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(np.add.reduceat(value, first))], names=["key", "rest"])
 
     tail = lists.join(known.select("key", "n"), "key").select("n", "docs").mapInArrow(add_up, "key long, tail double, tail_known long")
     rest = stored.filter("kind = 2").select("key", "docs").join(others.withColumnRenamed("c", "key"), "key", "left").select("key", "docs", "seen").mapInArrow(add_contexts, "key long, rest double")
