@@ -254,9 +254,9 @@ def group_members(t):
     return canonical.members(t("documents"), "lang", "source")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_totalprice > 300000)")
 def orphans_anti(t):
-    return canonical.without_partner(t("customer"), t("orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+    return canonical.without_partner(t("customer"), t("orders").filter("o_totalprice > 300000").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
 
 
 @query("""WITH b AS (SELECT o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS rn FROM orders) WHERE rn = 1)
@@ -266,7 +266,7 @@ def semi_chosen(t):
     return t("lineitem").join(best, "l_orderkey", "left_semi").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-@query(f"SELECT doc_id, length(text) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY left({sql_collapse('text')}, 24) ORDER BY length(text) DESC, doc_id) AS rn FROM documents) WHERE rn = 1")
+@query(f"SELECT doc_id, length(text) AS n_chars FROM (SELECT *, row_number() OVER (PARTITION BY {sql_collapse('text')} ORDER BY length(text) DESC, doc_id) AS rn FROM documents) WHERE rn = 1")
 def dup_text_dedup_longest(t):
     return canonical.keep_longest(t("documents"), text.text_key(F.col("text")), "text", "doc_id").select("doc_id", F.length("text").alias("n_chars"))
 
