@@ -19,10 +19,13 @@ words = re.compile(WORD).findall
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where it is set.
 
-    Only where it is unset (a local test session), a local temporary folder is made.
+    Where it is unset, a local session (tests) gets a temporary folder; on a cluster, whose
+    machines would each write to a folder of their own, that is an error.
     """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="reviewloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
