@@ -15,7 +15,7 @@ the sample that the segments are not trained on: all segments of the whole text
 
 Training is on the driver, on a bounded sample of the labelled training rows, drawn by a
 hash of doc_id: at most `max_toxic` and `max_clean` documents, none above
-`max_train_chars` characters. Scoring is a pass over all documents with the model (one
+`max_train_chars` characters, of which a round takes at most `max_clean_segments` clean segments at random. Scoring is a pass over all documents with the model (one
 float a hash bucket) broadcast.
 
 Defined results: null and empty texts have no segment and score as a document without
@@ -104,6 +104,8 @@ class FastText:
     rate: float = 0.05
     fade: float = 0.6
     misspelt_weight: float = 0.1
+    #: clean segments that a round of training draws (twice the toxic ones in the first, if that is more), besides each document's three highest
+    max_clean_segments: int = 20_000
     seed: int = 7
     table: np.ndarray = field(default=None, repr=False)  # embeddings
     layer: np.ndarray = field(default=None, repr=False)  # (dim, 2)
@@ -158,7 +160,7 @@ class FastText:
         # every fourth document is not trained on: it shows how high clean documents reach that the model does not know
         apart = np.arange(len(docs)) % 4 == 3
         toxic, clean = (y[owner] == 1) & ~apart[owner], (y[owner] == 0) & ~apart[owner]
-        positive, negative = np.flatnonzero(toxic), rng.permutation(np.flatnonzero(clean))[: max(20_000, 2 * toxic.sum())]
+        positive, negative = np.flatnonzero(toxic), rng.permutation(np.flatnonzero(clean))[: max(self.max_clean_segments, 2 * toxic.sum())]
         for round_ in range(self.rounds):
             extra, extra_y = [], []
             if round_ >= 2:
@@ -176,7 +178,7 @@ class FastText:
             best = order[rank < 1]
             positive = np.unique(np.r_[best[toxic[best]], np.flatnonzero(toxic & (z + self.logits()[1] > 3))])
             hard = order[rank < 3]
-            negative = np.unique(np.r_[hard[clean[hard]], rng.permutation(np.flatnonzero(clean))[: 20_000]])
+            negative = np.unique(np.r_[hard[clean[hard]], rng.permutation(np.flatnonzero(clean))[: self.max_clean_segments]])
         top = np.full(len(docs), -20.0)
         np.maximum.at(top, owner, z + self.logits()[1])
         # a document whose one toxic word is misspelt is toxic too, at less weight
