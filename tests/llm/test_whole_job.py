@@ -53,6 +53,24 @@ def test_near_duplicates_at_jaccard_of_four_fifths(spark):
     assert got == {i for i in sets if root[i] == i}
 
 
+def test_near_duplicates_of_a_large_loose_group(spark):
+    """Copies of one text with more or fewer edits: most pairs meet in a band, few are at 0.8 or more."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+    docs = []
+    for i in range(250):
+        own = list(base)
+        for _ in range(rng.randint(1, 8)):
+            own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
+        docs.append((i, " ".join(own)))
+    sets = {i: shingles(t) for i, t in docs}
+    root = components([(a, b) for a in sets for b in sets if a < b and alike(sets[a], sets[b])], sets)
+    expected = {i for i in sets if root[i] == i}
+    assert 10 < len(expected) < 240
+    got = {r.doc_id for r in neardups.survivors(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == expected
+
+
 def test_common_lines_go_to_the_last_one(spark):
     rng = random.Random(7)
     line = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
