@@ -85,36 +85,33 @@ def norm_token(c: Column) -> Column:
     return F.replace(F.lower(collapse(c)), F.lit(ZWNJ), F.lit(""))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def greedy_stop_filter(toks: Column, stop: list[str], bigrams: list[tuple[str, str]] = (), allow: list[str] = ()) -> tuple[Column, Column]:
-    """(kept, removed): allowed tokens stay, then a bigram drops both its tokens, then stopwords go.
+    """(kept, removed) of a scan from the left: allowed tokens stay, then a bigram drops both its tokens, then stopwords go.
 
-    The scan from the left equals a test by position as long as no word both begins and
-    ends a bigram, which is required here.
+    Each token gets a digit (2: begins a bigram, 1: stopword, 0: neither); a replacement from the
+    left, which like the scan goes on behind each bigram it finds, marks the bigrams' tokens with 3.
     """
-    firsts, seconds = {a for a, _ in bigrams}, {b for _, b in bigrams}
-    if firsts & seconds:
-        raise ValueError("a word may not both begin and end a bigram")
     pairs = [f"{a} {b}" for a, b in bigrams]
-    key = F.transform(toks, norm_token)
-    # each token beside its key and its neighbours' keys: no array is looked into from within the test
-    before = F.zip_with(toks, F.concat(F.array(F.lit(None).cast("string")), key), lambda t, p: F.struct(t.alias("t"), p.alias("before")))
-    beside = F.zip_with(before, F.concat(key, F.array(F.lit(None).cast("string"))), lambda e, k: F.struct(e["t"].alias("t"), e["before"].alias("before"), k.alias("key")))
-    full = F.filter(F.zip_with(beside, F.slice(key, 2, F.greatest(F.size(key), F.lit(1))), lambda e, n: F.struct(e["t"].alias("t"), e["before"].alias("before"), e["key"].alias("key"), n.alias("after"))), lambda e: e["t"].isNotNull())
-
-    def starts(a: Column, b: Column) -> Column:
-        pair = a.isNotNull() & b.isNotNull() & F.concat_ws(" ", a, b).isin(pairs)
-        return pair & ~a.isin(list(allow)) if allow else pair
-
-    def dropped(e: Column) -> Column:
-        out = e["key"].isin(list(stop)) if stop else F.lit(False)
-        if allow:
-            out = out & ~e["key"].isin(list(allow))
-        if pairs:
-            out = out | F.coalesce(starts(e["key"], e["after"]), F.lit(False)) | F.coalesce(starts(e["before"], e["key"]), F.lit(False))
-        return out
-
-    word = lambda e: e["t"]
-    return F.transform(F.filter(full, lambda e: ~dropped(e)), word), F.transform(F.filter(full, dropped), word)
+    stopped = [s for s in stop if s not in set(allow)]
+
+    def digit(key: Column, after: Column) -> Column:
+        out = F.when(key.isin(stopped), "1").otherwise("0") if stopped else F.lit("0")
+        begins = after.isNotNull() & F.concat_ws(" ", key, after).isin(pairs) if pairs else F.lit(False)
+        return F.when(begins & ~key.isin(list(allow)) if allow else begins, "2").otherwise(out)
+
+    def split(marks: Column) -> Column:
+        marked = F.zip_with(toks, marks, lambda t, m: F.struct(t.alias("t"), m.alias("m")))
+        take = lambda *m: lambda all_: F.transform(F.filter(all_, lambda e: e["m"].isin(*m)), lambda e: e["t"])
+        return _let(marked, lambda all_: F.struct(take("0")(all_).alias("kept"), take("1", "3")(all_).alias("removed")))
+
+    digits = _let(F.transform(toks, norm_token), lambda k: F.array_join(F.zip_with(k, F.slice(k, 2, F.greatest(F.size(k), F.lit(1))), digit), ""))
+    both = _let(F.split(F.regexp_replace(digits, "2.", "33"), ""), split)
+    return both["kept"], both["removed"]
 
 
 def bigrams(toks: Column) -> Column:

@@ -50,10 +50,15 @@ def fit(tf: DataFrame, config: IndexConfig = IndexConfig(), n_docs: DataFrame |
     terms = terms.select("term", "df", "ctf", (F.log((1 + F.col("__n")) / (1 + F.col("df"))) + 1).alias("idf"))
     if config.max_features:
         terms = terms.orderBy(F.desc("ctf"), "term").limit(config.max_features)
-    w = (1 + F.log("tf")) if config.sublinear else F.col("tf").cast("double")
+    return weigh(tf, terms, config.sublinear), terms
+
+
+def weigh(tf: DataFrame, terms: DataFrame, sublinear: bool = True) -> DataFrame:
+    """Postings (doc, term, tf, w): tf-idf weights of the kept terms, documents of unit length."""
+    w = (1 + F.log("tf")) if sublinear else F.col("tf").cast("double")
     weighted = tf.join(terms.select("term", "idf"), "term").withColumn("__w", w * F.col("idf")).drop("idf")
     norm = weighted.groupBy("doc").agg(F.sqrt(F.sum(F.col("__w") * F.col("__w"))).alias("__norm"))
-    return weighted.join(norm, "doc").select("doc", "term", "tf", (F.col("__w") / F.col("__norm")).alias("w")), terms
+    return weighted.join(norm, "doc").select("doc", "term", "tf", (F.col("__w") / F.col("__norm")).alias("w"))
 
 
 def top_terms(postings: DataFrame, k: int = 15) -> DataFrame:

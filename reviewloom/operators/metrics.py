@@ -58,7 +58,7 @@ GRID = {"neg_th": (1.6, 2.0, 2.4, 2.8), "pos_th": (1.6, 2.0, 2.4, 2.8), "info_ma
 
 
 def weak_grid(featured: DataFrame, true: str, row: str, grid: dict = GRID, seed: int = 42, folds: int | None = None) -> DataFrame:
-    """(param_id, thresholds, macro_f1): the mean over stratified folds of each set of thresholds.
+    """(param_id, thresholds, macro_f1): the mean over stratified folds (min(5, max(2, n / 60)) unless given) of each set of thresholds.
 
     featured: rows with the columns of weak_features(). Each distinct set of features is judged
     once: rows are first counted by features, label and fold.
@@ -68,8 +68,9 @@ def weak_grid(featured: DataFrame, true: str, row: str, grid: dict = GRID, seed:
     sets = [dict(zip(grid, values)) for values in product(*grid.values())]
     # a bounded table: the product of the grid's lengths
     params = spark.createDataFrame([(i, *[float(s[k]) for k in grid]) for i, s in enumerate(sets)], "param_id int, " + ", ".join(f"g_{k} double" for k in grid))
-    k = folds or 5
+    k = F.lit(folds) if folds else F.least(F.lit(5), F.greatest(F.lit(2), F.floor(F.col("__n") / 60)))
     fold = (F.row_number().over(Window.partitionBy(true).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(row).cast("string"))), row)) - 1) % k
+    featured = featured.crossJoin(F.broadcast(featured.agg(F.count("*").alias("__n"))))
     names = ["w_words", "w_neg", "w_pos", "w_service_strong", "w_info", "w_early", "w_self_harm", "w_improved", "w_complaint", "w_money"]
     rows = featured.withColumn("fold", fold).withColumn("w_words", F.least("w_words", F.lit(max(grid.get("info_max_words", (base.info_max_words,))) + 1)))
     counted = rows.groupBy("fold", F.col(true).alias("y_true"), *names).agg(F.count("*").alias("n"))

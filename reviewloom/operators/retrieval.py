@@ -51,18 +51,25 @@ def top_k(sims: DataFrame, k: int = 10, docs: DataFrame | None = None) -> DataFr
     return sims.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
 
-def evidence(pairs: DataFrame, terms: DataFrame, comments: DataFrame, doc: str, value: Column, rate: Column, threshold: float = 4.0) -> DataFrame:
+def evidence(pairs: DataFrame, terms: DataFrame, comments: DataFrame, doc: str, row: str, value: Column, rate: Column, threshold: float = 4.0) -> DataFrame:
     """Per (query, doc): comments that hold a term of the query as whole words, and how many of those recommend.
 
-    terms: (query, term). The terms are in lower case and the comments are not changed: case counts.
+    terms: (query, term); row: the comments' key. The terms are in lower case and the comments are not changed: case counts.
+    Texts are not repeated for the queries: a comment brings its distinct words and pairs of words, joined by document and term.
     """
-    asked = terms.groupBy("query").agg(F.collect_set("term").alias("__terms"))
-    rows = comments.select(F.col(doc).alias("doc"), F.concat(F.lit(" "), F.coalesce(value, F.lit("")), F.lit(" ")).alias("__text"), F.coalesce(rate >= threshold, F.lit(False)).alias("__rec"))
-    met = pairs.select("query", "doc").join(asked, "query").join(rows, "doc")
-    met = met.filter(F.exists("__terms", lambda t: F.contains(F.col("__text"), F.concat(F.lit(" "), t, F.lit(" ")))))
+    rows = comments.select(F.col(doc).alias("doc"), F.col(row).alias("__row"), F.coalesce(rate >= threshold, F.lit(False)).alias("__rec"), F.split(F.coalesce(value, F.lit("")), " ").alias("__t"))
+    held = rows.select("doc", "__row", "__rec", F.explode(F.array_distinct(text.ngrams(F.col("__t")))).alias("term"))
+    asked = pairs.select("query", "doc").join(terms.select("query", "term"), "query")
+    met = held.join(asked, ["doc", "term"]).select("query", "doc", "__row", "__rec").distinct()
     return met.groupBy("query", "doc").agg(F.count("*").alias("q_support"), F.count_if("__rec").alias("q_recommend"))
 
 
+def overall(comments: DataFrame, doc: str, rate: Column, threshold: float = 4.0) -> DataFrame:
+    """Per doc: all its comments, and the percentage of them that recommend."""
+    n = comments.groupBy(F.col(doc).alias("doc")).agg(F.count("*").alias("overall_support"), F.count_if(F.coalesce(rate >= threshold, F.lit(False))).alias("__r"))
+    return n.select("doc", "overall_support", F.round(100 * F.col("__r") / F.col("overall_support"), PLACES).alias("overall_recommend_pct"))
+
+
 def rerank(pairs: DataFrame, found: DataFrame) -> DataFrame:
     """final = sim * (recommend + 1) / (support + 2) * ln(1 + support): without support it is 0."""
     n, r = F.coalesce("q_support", F.lit(0)), F.coalesce("q_recommend", F.lit(0))

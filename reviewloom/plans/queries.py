@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html, jsonrepair, labels, text
 from ..operators import canonical, classify, columns, index, labeling, metrics, preprocess, profile, retrieval, stopwords
+from ..operators.stage import stage
 from ..sources import files
 from ..workers import importable
 
@@ -316,7 +317,7 @@ def _tf(t, rows=None):
 def _index(t, rows=None, config=CONFIG):
     source = rows if rows is not None else t("documents")
     # the documents' number, those without terms too
-    return index.fit(_tf(t, rows), config, source.agg(F.count_distinct("source").alias("n")))
+    return index.fit(stage(_tf(t, rows)), config, source.agg(F.count_distinct("source").alias("n")))
 
 
 def sql_index(rows: str = "documents", config: index.IndexConfig = CONFIG) -> str:
@@ -403,26 +404,34 @@ def retrieve_topk(t):
     return retrieval.search(t("benchmark"), "item_id", text.tokens(F.lower(F.col("text"))), postings, terms, 5)
 
 
-@query(f"""{_TOP}, alt AS (SELECT query, doc FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY sim, doc) AS rank FROM sims) WHERE rank <= 15)
+@query(f"""{_TOP}, post_b0 AS (SELECT doc, term, tf * idf AS w0 FROM tf JOIN terms USING (term) WHERE NOT contains(term, ' ')), post_b AS (SELECT doc, term, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY doc)) AS w FROM post_b0),
+    qv_b0 AS (SELECT query, term, tf * idf AS w0 FROM qtf JOIN terms USING (term) WHERE NOT contains(term, ' ')), qv_b AS (SELECT query, term, w0 / sqrt(sum(w0 * w0) OVER (PARTITION BY query)) AS qw FROM qv_b0),
+    alt AS (SELECT query, doc FROM (SELECT query, doc, row_number() OVER (PARTITION BY query ORDER BY sim DESC, doc) AS rank FROM (SELECT query, doc, round(sum(qw * w), 6) AS sim FROM qv_b JOIN post_b USING (term) GROUP BY query, doc)) WHERE rank <= 5)
     SELECT query, count(*) FILTER (top.doc IS NOT NULL AND alt.doc IS NOT NULL) AS n_both, count(*) FILTER (alt.doc IS NULL) AS n_only_a, count(*) FILTER (top.doc IS NULL) AS n_only_b FROM top FULL JOIN alt USING (query, doc) GROUP BY query""")
 def variant_overlap(t):
-    postings, terms = _index(t)
-    sims = retrieval.similarities(retrieval.query_vectors(retrieval.query_terms(t("benchmark"), "item_id", text.tokens(F.lower(F.col("text")))), terms), postings)
-    return retrieval.variant_overlap(retrieval.top_k(sims, 5), retrieval.top_k(sims.withColumn("sim", -F.col("sim")), 15))
+    """The index with pairs of words and logarithmic counts, against one of single words and plain counts with the same vocabulary."""
+    tf, source = stage(_tf(t)), t("documents")
+    n = source.agg(F.count_distinct("source").alias("n"))
+    postings, terms = index.fit(tf, CONFIG, n)
+    single = terms.filter(~F.contains("term", F.lit(" ")))
+    plain = index.weigh(tf, single, sublinear=False)
+    qterms = retrieval.query_terms(t("benchmark"), "item_id", text.tokens(F.lower(F.col("text"))))
+    found = lambda terms, postings, sublinear: retrieval.top_k(retrieval.similarities(retrieval.query_vectors(qterms, terms, sublinear), postings), 5)
+    return retrieval.variant_overlap(found(terms, postings, True), found(single, plain, False))
 
 
-@query(f"""{_TOP.replace('WITH ', 'WITH ' + REVIEWS + ', ', 1)}, ev AS (SELECT top.query, top.doc, count(*) AS q_support, count(*) FILTER (coalesce(rate >= 4, false)) AS q_recommend FROM top JOIN (SELECT query, list(DISTINCT term) AS ts FROM qtf WHERE contains(term, ' ') GROUP BY query) q ON q.query = top.query
+@query(f"""{_TOP.replace('WITH ', 'WITH ' + REVIEWS + ', ', 1)}, ev AS (SELECT top.query, top.doc, count(*) AS q_support, count(*) FILTER (coalesce(rate >= 4, false)) AS q_recommend FROM top JOIN (SELECT query, list(DISTINCT term) AS ts FROM qtf GROUP BY query) q ON q.query = top.query
     JOIN r ON r.source = top.doc WHERE len(list_filter(ts, lambda x: contains(' ' || text || ' ', ' ' || x || ' '))) > 0 GROUP BY top.query, top.doc),
     s AS (SELECT query, doc, sim, coalesce(q_support, 0) AS n, coalesce(q_recommend, 0) AS k FROM top LEFT JOIN ev USING (query, doc)),
     f AS (SELECT query, doc, sim, n AS q_support, k AS q_recommend, CASE WHEN n > 0 THEN round(100 * k / n, 6) ELSE 0.0 END AS q_recommend_pct, round((k + 1) / (n + 2), 6) AS q_recommend_smooth, round(sim * (k + 1) / (n + 2) * ln(1 + n), 6) AS final_score FROM s)
-    SELECT *, row_number() OVER (PARTITION BY query ORDER BY final_score DESC, sim DESC, q_support DESC, doc) AS rank FROM f""")
+    , ov AS (SELECT source AS doc, count(*) AS overall_support, round(100 * count(*) FILTER (coalesce(rate >= 4, false)) / count(*), 6) AS overall_recommend_pct FROM r GROUP BY source)
+    SELECT f.*, overall_support, overall_recommend_pct, row_number() OVER (PARTITION BY query ORDER BY final_score DESC, sim DESC, q_support DESC, f.doc) AS rank FROM f JOIN ov ON ov.doc = f.doc""")
 def rerank_topk(t):
     postings, terms = _index(t)
     qterms = retrieval.query_terms(t("benchmark"), "item_id", text.tokens(F.lower(F.col("text"))))
     best = retrieval.top_k(retrieval.similarities(retrieval.query_vectors(qterms, terms), postings), 5)
-    # phrases of two words alone: single ones are in almost every long document
-    found = retrieval.evidence(best, qterms.filter(F.contains("term", F.lit(" "))), t("reviews"), "source", F.col("text"), F.col("rate"))
-    return retrieval.rerank(best, found)
+    found = retrieval.evidence(best, qterms, t("reviews"), "source", "doc_id", F.col("text"), F.col("rate"))
+    return retrieval.rerank(best, found).join(retrieval.overall(t("reviews"), "source", F.col("rate")), "doc")
 
 
 _HOLD = """hs AS (SELECT *, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS rn FROM documents),
@@ -593,18 +602,19 @@ def classification_report(t):
     return metrics.report(metrics.confusion(_weak(t).filter("label is not null"), "label", "label_weak"))
 
 
-SMALL_GRID = {"neg_th": (1.6, 2.4), "pos_th": (1.6, 2.4), "mixed_margin": (0.8, 1.6)}
+_G = {"neg_th": "[1.6, 2.0, 2.4, 2.8]", "pos_th": "[1.6, 2.0, 2.4, 2.8]", "info_max_words": "[3, 4, 5]", "mixed_margin": "[0.8, 1.2, 1.6]", "neg_margin_th": "[0.6, 1.0, 1.4]", "pos_margin_th": "[0.6, 1.0, 1.4]"}
 
 
-@query(f"""{_WEAK}, fd AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5('42:' || doc_id), doc_id) - 1) % 5 AS fold FROM wf WHERE label IS NOT NULL),
-    pg AS (SELECT (row_number() OVER (ORDER BY nt, pt, mm)) - 1 AS param_id, nt, pt, mm FROM (SELECT unnest([1.6, 2.4]) AS nt), (SELECT unnest([1.6, 2.4]) AS pt), (SELECT unnest([0.8, 1.6]) AS mm)),
-    j AS (SELECT param_id, fold, label, {sql_weak(_P | {'neg_th': 'nt', 'pos_th': 'pt', 'mixed_margin': 'mm'}, 'label')} AS y FROM fd, pg),
+@query(f"""{_WEAK}, fd AS (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5('42:' || doc_id), doc_id) - 1) % least(5, greatest(2, count(*) OVER () // 60)) AS fold FROM wf WHERE label IS NOT NULL),
+    pg AS (SELECT row_number() OVER (ORDER BY {', '.join('p_' + k for k in _G)}) - 1 AS param_id, * FROM {', '.join(f'(SELECT CAST(unnest({v}) AS DOUBLE) AS p_{k})' for k, v in _G.items())}),
+    j AS (SELECT param_id, fold, label, {sql_weak(_P | {k: 'p_' + k for k in _G}, 'label')} AS y FROM fd, pg),
     cl AS (SELECT param_id, fold, c, count(*) FILTER (label = c AND y = c) AS hit, count(*) FILTER (label = c) AS sup, count(*) FILTER (y = c) AS cal FROM j, (SELECT unnest([-1, 0, 1]) AS c) GROUP BY param_id, fold, c),
     m AS (SELECT param_id, fold, sum(CASE WHEN sup + cal > 0 THEN 2 * hit / (sup + cal) ELSE 0 END) / 3 AS f1 FROM cl GROUP BY param_id, fold)
-    SELECT param_id, CAST(any_value(nt) AS DOUBLE) AS neg_th, CAST(any_value(pt) AS DOUBLE) AS pos_th, CAST(any_value(mm) AS DOUBLE) AS mixed_margin, round(avg(f1), 6) AS macro_f1 FROM m JOIN pg USING (param_id) GROUP BY param_id""")
+    SELECT param_id, {', '.join(f'any_value(p_{k}) AS {k}' for k in _G)}, round(avg(f1), 6) AS macro_f1 FROM m JOIN pg USING (param_id) GROUP BY param_id""")
 def weak_param_grid(t):
+    """All 1,296 sets of thresholds."""
     gold = t("reviews").filter("label is not null").withColumns(labels.weak_features(F.col("text"), WEAK))
-    return metrics.weak_grid(gold, "label", "doc_id", SMALL_GRID, 42, 5)
+    return metrics.weak_grid(gold, "label", "doc_id")
 
 
 @query(f"""WITH c AS (SELECT *, {sql_draw(7, 'doc_id')} AS k FROM documents), a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, doc_id) AS r1 FROM c), b AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY k, doc_id) AS r2 FROM a WHERE r1 <= 6)
@@ -658,7 +668,8 @@ def class_weights(t):
     u AS (SELECT doc_id, label AS y, split, CASE WHEN split = 'train' THEN 3 ELSE 1 END AS k FROM sp UNION ALL SELECT doc_id, label_final, 'train', 1 FROM wk JOIN cap ON l = label_final WHERE rk <= most)
     SELECT split, CAST(y AS BIGINT) AS label_human_int, CAST(sum(k) AS BIGINT) AS n, count(DISTINCT doc_id) AS n_items FROM u GROUP BY split, y""")
 def hybrid_training_set(t):
-    w = _weak(t).withColumn("label_final", labels.accepted_label())
+    # the rules' patterns run once, not for each branch of the union
+    w = stage(_weak(t).select("doc_id", "label", labels.accepted_label().alias("label_final")))
     gold = w.filter("label is not null").select("doc_id", F.col("label").alias("label_human_int"))
     out = labeling.hybrid_training_set(gold, w.filter("label is null").select("doc_id", "label_final"), "doc_id")
     return out.groupBy("split", "label_human_int").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_items"))

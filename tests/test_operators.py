@@ -101,9 +101,11 @@ def test_rerank_smoothing(spark):
 def test_evidence_keeps_case(spark):
     pairs = spark.createDataFrame([("q", "a")], "query string, doc string")
     terms = spark.createDataFrame([("q", "mri"), ("q", "درد گردن")], "query string, term string")
-    comments = spark.createDataFrame([("a", "MRI گرفتم", 5.0), ("a", "درد گردن داشتم", 5.0), ("a", "درد گردنم", 5.0), ("a", "mri", None)], "doc string, t string, rate double")
-    r = retrieval.evidence(pairs, terms, comments, "doc", F.col("t"), F.col("rate")).first()
-    assert (r.q_support, r.q_recommend) == (2, 1)
+    comments = spark.createDataFrame([("a", 1, "MRI گرفتم", 5.0), ("a", 2, "درد گردن داشتم", 5.0), ("a", 3, "درد گردنم", 5.0), ("a", 4, "mri", None), ("a", 5, "mri درد گردن", 1.0), ("a", 6, None, 5.0)], "doc string, i int, t string, rate double")
+    r = retrieval.evidence(pairs, terms, comments, "doc", "i", F.col("t"), F.col("rate")).first()
+    assert (r.q_support, r.q_recommend) == (3, 1)
+    o = retrieval.overall(comments, "doc", F.col("rate")).first()
+    assert (o.overall_support, o.overall_recommend_pct) == (6, 66.666667)
 
 
 def test_stopwords_with_reasons(spark):
