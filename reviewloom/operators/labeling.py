@@ -254,3 +254,35 @@ def hybrid_training_set(gold: DataFrame, weak: DataFrame, row: str, repeat_gold:
     capped = cap_by_reference(weak.filter("label_final is not null").withColumn("label_human_int", F.col("label_final")), train, "label_human_int", row, mult, seed)
     parts = [repeat(train, repeat_gold), capped.withColumn("split", F.lit("train")), split.filter("split != 'train'")]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def candidate_masks(pos: Column, neg: Column, complaint: Column, soft_pos: Column, contrast: Column, short: Column, rate: Column, neg_rate: float = 1.8) -> dict[str, Column]:
+    """Whether a row is a candidate of each class, out of its cue flags; classes may overlap. A null rate is no sign of either."""
+    mixed = (neg | complaint) & (pos | soft_pos) & contrast
+    low = F.coalesce(rate <= neg_rate, F.lit(False))
+    return {
+        "mixed_cue": mixed,
+        "pos_cand": pos & ~neg & ~complaint & ~short,
+        "neg_cand": (neg | complaint | low) & ~pos & ~short & ~mixed,
+        "neu_cand": mixed | (~pos & ~neg),
+    }
+
+
+def one_per_key(df: DataFrame, row: str) -> DataFrame:
+    """The table itself; a key that is there twice makes it fail when it is read."""
+    cols = [c for c in df.columns if c != row]
+    one = df.groupBy(row).agg(F.count("*").alias("__n"), F.first(F.struct(*cols)).alias("__r"))
+    checked = F.when(F.col("__n") > 1, F.raise_error(F.concat(F.lit(f"{row} is not unique: "), F.col(row).cast("string")))).otherwise(F.col("__r"))
+    return one.withColumn("__r", checked).select(row, "__r.*")
+
+
+def audit(weak: DataFrame, answers: DataFrame, row: str, weak_label: str = "label_weak", label: str = "label_llm") -> DataFrame:
+    """Weak labels beside the model's answers, one row an item that has both, and whether they differ."""
+    both = one_per_key(weak, row).join(one_per_key(answers, row), row)
+    return both.withColumn("changed", ~F.col(weak_label).eqNullSafe(F.col(label)))
+
+
+def bert_dataset(df: DataFrame, c: str, label: str, *keep: str) -> DataFrame:
+    """(text_bert, label_id) of the rows whose trimmed text is not blank."""
+    out = df.select(*keep, F.trim(F.coalesce(F.col(c), F.lit(""))).alias("text_bert"), F.col(label).cast("int").alias("label_id"))
+    return out.filter("text_bert != ''")

@@ -111,14 +111,14 @@ def heaviest_documents(postings: DataFrame, top: int = 10) -> DataFrame:
     return postings.groupBy("doc").agg(F.round(F.sum("w"), 6).alias("mass")).orderBy(F.desc("mass"), "doc").limit(top)
 
 
-def holdout(df: DataFrame, group: str, row: str, share: float = 0.2, seed: int = 42, min_rows: int = 5, max_queries: int = 50) -> DataFrame:
+def holdout(df: DataFrame, group: str, row: str, share: float = 0.2, seed: int = 42, min_rows: int = 5, max_queries: int = 50, truncate: bool = False) -> DataFrame:
     """Adds `part`: per group of at least `min_rows` rows, clamp(bround(share * n), 1, n - 1) are test rows, drawn by hash.
 
-    At most `max_queries` test rows a group are queries ("test"); further ones are in neither part ("unused").
+    truncate: floor(share * n) instead of the rounded one. At most `max_queries` test rows a group are queries ("test"); further ones are in neither part ("unused").
     """
     draw = Window.partitionBy(group).orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(row).cast("string"))), row)
     n = F.count("*").over(Window.partitionBy(group))
-    size = F.greatest(F.lit(1), F.least(F.bround(n * share, 0).cast("int"), n - 1))
+    size = F.greatest(F.lit(1), F.least((F.floor(n * share) if truncate else F.bround(n * share, 0)).cast("int"), n - 1))
     out = df.withColumn("__n", n).withColumn("__size", size).withColumn("__rn", F.row_number().over(draw))
     part = F.when(F.col("__n") < min_rows, "train").when(F.col("__rn") > F.col("__size"), "train").when(F.col("__rn") <= max_queries, "test").otherwise("unused")
     return out.withColumn("part", part).drop("__n", "__size", "__rn")

@@ -736,6 +736,60 @@ def html_extract(t):
     return t("pages").select("page_id", html.title(h).alias("title"), F.size(html.links(h)).alias("n_links"), F.length(html.plain(h)).alias("n_plain"))
 
 
+# ---------------------------------------------------------------- candidates, answers, ingests
+
+
+@query(f"""{_WEAK}, fl AS (SELECT wf.doc_id, pos > 0 AS p, neg > 0 AS n, svc AS s, impr AS sp, compl AS c, w <= 8 AS sh, coalesce(rate <= 1.8, false) AS low FROM wf JOIN r USING (doc_id)), mx AS (SELECT *, (n OR s) AND (p OR sp) AND c AS m FROM fl)
+    SELECT doc_id, m AS mixed_cue, p AND NOT n AND NOT s AND NOT sh AS pos_cand, (n OR s OR low) AND NOT p AND NOT sh AND NOT m AS neg_cand, m OR (NOT p AND NOT n) AS neu_cand FROM mx""")
+def candidate_masks(t):
+    d = t("reviews").withColumns(labels.weak_features(F.col("text"), WEAK))
+    masks = labeling.candidate_masks(F.col("w_pos") > 0, F.col("w_neg") > 0, F.col("w_service_strong"), F.col("w_improved"), F.col("w_complaint"), F.col("w_words") <= 8, F.col("rate"))
+    return d.withColumns(masks).select("doc_id", *masks)
+
+
+def _answers(t):
+    """A log of answers: each labelled document asked twice, the second time with another answer for every third."""
+    first = t("labels").select(F.col("doc_id").cast("string").alias("item_id"), F.col("quality").cast("int").alias("label_llm"), F.lit("ok").alias("status"), F.lit("b1").alias("batch_id"), F.lit("2024-01-01T00:00:00Z").alias("ts_utc"))
+    again = first.withColumn("label_llm", F.when(F.col("item_id").cast("long") % 3 == 0, -F.col("label_llm")).otherwise(F.col("label_llm"))).withColumn("batch_id", F.lit("b2")).withColumn("ts_utc", F.lit("2024-01-02T00:00:00Z"))
+    return files.latest(first.unionByName(again)).select(F.col("item_id").cast("long").alias("doc_id"), "label_llm")
+
+
+_ANSWERS = "an AS (SELECT doc_id, CAST(CASE WHEN doc_id % 3 = 0 THEN -quality ELSE quality END AS BIGINT) AS label_llm FROM labels)"
+
+
+@query(f"WITH {_ANSWERS} SELECT d.doc_id, source, label_llm FROM documents d LEFT JOIN an USING (doc_id)")
+def pool_with_latest_labels(t):
+    pool = labeling.one_per_key(t("documents").select("doc_id", "source"), "doc_id")
+    return pool.join(labeling.one_per_key(_answers(t), "doc_id"), "doc_id", "left")
+
+
+@query(f"{_WL}, {_ANSWERS} SELECT doc_id, CAST(label_weak AS BIGINT) AS label_weak, label_llm, label_weak <> label_llm AS changed FROM wl JOIN an USING (doc_id)")
+def weak_answer_audit(t):
+    return labeling.audit(_weak(t).select("doc_id", "label_weak"), _answers(t), "doc_id")
+
+
+@query(f", lab AS (SELECT * FROM r WHERE label IS NOT NULL), {sql_split('lab', 'label', 'doc_id', labeling.HUMAN)} SELECT doc_id, CAST(label AS BIGINT) AS label, split FROM sp")
+def human_ingest_split(t):
+    return labeling.stratified_split(t("reviews").filter("label is not null"), "label", "doc_id", 42, labeling.HUMAN).select("doc_id", "label", "split")
+
+
+@query(f"WITH {_ANSWERS}, {sql_split('an', 'label_llm', 'doc_id', labeling.LLM)} SELECT doc_id, label_llm, split FROM sp")
+def answer_ingest_split(t):
+    return labeling.stratified_split(_answers(t), "label_llm", "doc_id", 42, labeling.LLM).select("doc_id", "label_llm", "split")
+
+
+@query(f", lab AS (SELECT * FROM r WHERE label IS NOT NULL), {sql_split('lab', 'label', 'doc_id', labeling.GOLD)} SELECT doc_id, split, md5(trim(text)) AS text_md5, CAST(rate AS BIGINT) AS label_id FROM sp WHERE trim(coalesce(text, '')) <> ''")
+def bert_dataset(t):
+    split = labeling.stratified_split(t("reviews").filter("label is not null"), "label", "doc_id", 42, labeling.GOLD)
+    return labeling.bert_dataset(split, "text", "rate", "doc_id", "split").select("doc_id", "split", F.md5("text_bert").alias("text_md5"), "label_id")
+
+
+@query("""WITH h AS (SELECT source, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS rn FROM documents)
+    SELECT source, CASE WHEN n < 5 THEN 'train' WHEN rn > greatest(1, least(CAST(floor(n * 0.2) AS BIGINT), n - 1)) THEN 'train' WHEN rn <= 50 THEN 'test' ELSE 'unused' END AS part, count(*) AS n_rows FROM h GROUP BY ALL""")
+def holdout_sizes_truncated(t):
+    return retrieval.holdout(t("documents"), "source", "doc_id", truncate=True).groupBy("source", "part").agg(F.count("*").alias("n_rows"))
+
+
 # ---------------------------------------------------------------- without SQL
 
 
@@ -747,7 +801,10 @@ def label_pool(t):
     return labeling.build_pool(labeling.pool_scores(rows, F.col("text"), F.col("rate"), POOL), "doc_id", "source", "lang", config).select("item_id", "doc_id", "bucket", "neg_score", "pos_score")
 
 
-@query()
+@query("""WITH RECURSIVE b AS (SELECT item_id, length(trim(left(regexp_replace(coalesce(text, ''), '[\\x00\\r\\n\\t]', ' ', 'g'), 700))) AS c, row_number() OVER (ORDER BY item_id) AS i FROM benchmark), g AS (
+    SELECT i, item_id, c AS chars, 1 AS items, 0 AS batch_no FROM b WHERE i = 1
+    UNION ALL SELECT b.i, b.item_id, CASE WHEN g.items >= 30 OR g.chars + b.c > 12000 THEN b.c ELSE g.chars + b.c END, CASE WHEN g.items >= 30 OR g.chars + b.c > 12000 THEN 1 ELSE g.items + 1 END, CASE WHEN g.items >= 30 OR g.chars + b.c > 12000 THEN g.batch_no + 1 ELSE g.batch_no END FROM g JOIN b ON b.i = g.i + 1)
+    SELECT item_id, CAST(batch_no AS BIGINT) AS batch_no FROM g""")
 def request_batches(t):
     return labeling.greedy_batches(t("benchmark").select("item_id", text.compact(F.col("text")).alias("text")), "item_id", F.length("text"), 30, 12_000).select("item_id", "batch_no")
 

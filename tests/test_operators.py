@@ -1,6 +1,7 @@
 import json
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from reviewloom.functions import labels, text
@@ -207,3 +208,26 @@ def test_columns_and_configs(spark):
     assert columns.ensure(df, a="x", b=2).first().asDict() == {"b": 1, "a": "x"}
     assert columns.project(df, "z", "b").first().asDict() == {"z": None, "b": 1}
     assert HybridConfig.from_env(env={"HYB_GOLD_REPEAT": "5", "HYB_CONF_TH_NEG": "0.5"}) == HybridConfig(conf_th_neg=0.5, gold_repeat=5)
+
+
+def test_audit_wants_one_row_a_key(spark):
+    weak = spark.createDataFrame([(1, 1), (2, 0), (3, None)], "id int, label_weak int")
+    answers = spark.createDataFrame([(1, 1), (2, -1), (3, 1), (4, 0)], "id int, label_llm int")
+    assert {r.id: r.changed for r in labeling.audit(weak, answers, "id").collect()} == {1: False, 2: True, 3: True}
+    with pytest.raises(Exception, match="not unique"):
+        labeling.audit(weak.union(weak), answers, "id").collect()
+
+
+def test_training_rows_of_bert_are_not_blank(spark):
+    df = spark.createDataFrame([(" a b ", 1.0), ("  ", 1.0), (None, 0.0)], "t string, y double")
+    assert [tuple(r) for r in labeling.bert_dataset(df, "t", "y").collect()] == [("a b", 1)]
+
+
+def test_index_is_stored_and_searched(spark, tmp_path):
+    df = spark.createDataFrame(DOCS, "doc string, i int, text string")
+    built = index.fit(index.row_terms(df, "doc", "i", text.tokens(F.col("text"))), index.IndexConfig(min_df=1, max_df=1.0))
+    index.save(*built, str(tmp_path))
+    q = spark.createDataFrame([("q", "درد کلیه")], "query string, text string")
+    found = [[tuple(r) for r in retrieval.search(q, "query", text.tokens(F.col("text")), *i, k=3).orderBy("rank").collect()] for i in (built, index.load(spark, str(tmp_path)))]
+    assert found[0] == found[1]
+    assert found[0][0][1] == "d0"
