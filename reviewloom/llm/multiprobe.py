@@ -39,6 +39,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
@@ -334,7 +335,7 @@ class MultiProbe:
         near = materialize(self.probed(rows, fits, every, kind), "near")
         return self._top(near.unionByName(self.exact(rows, fits, near, every, kind))).select("query_id", "rank", "vec_id", "score")
 
-    def probed(self, rows: DataFrame, fits: dict[int, Fit], every: int, kind: str) -> DataFrame:
+    def probed(self, rows: DataFrame, fits: dict[int, Fit], every: int, kind: str, most_bytes: int = 8 << 20) -> DataFrame:
         """What the tables offer: the k best rows of each query in each task of the join."""
         k = self.k
 
@@ -376,18 +377,24 @@ class MultiProbe:
                 who, where = np.concatenate(who), np.concatenate(where)
                 by = np.argsort(where, kind="stable")
                 out: list[list] = [[], [], [], []]
+                held, kinds = 0, (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                batch = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["key", "block", "q", "q_x"])  # noqa: E731, B023
                 for run in np.split(by, np.flatnonzero(np.diff(where[by])) + 1):
                     for i in range(0, len(run), self.pack):
                         own = who[run[i : i + self.pack]]
                         seq += 1
                         for c, v in zip(out, (where[run[0]], seq, np.stack([ids[own], qh[own]], axis=1).astype("<i8").tobytes(), q[own].tobytes()), strict=True):
                             c.append(v)
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["key", "block", "q", "q_x"])
+                        held += len(own) * (16 + q[0].nbytes)
+                        if held >= most_bytes:  # a block's probes are many times its queries
+                            yield batch(out)
+                            out, held = [[], [], [], []], 0
+                yield batch(out)
 
         asked = self.queries(rows, every)
         tasks = max(1, -(-asked.count() // 4096))  # so that a probed bucket meets few blocks of queries
-        probes = asked.repartition(tasks).mapInArrow(ask, "key long, block long, q binary, q_x binary")
+        # a query has many probes, which Spark takes for one row: without the hint it would gather them all on the driver
+        probes = asked.repartition(tasks).mapInArrow(ask, "key long, block long, q binary, q_x binary").hint("merge")
         met = rows.mapInArrow(index, "key long, chunk long, dim int, ids binary, counts binary, x binary").join(probes, "key").select("key", "dim", "chunk", "ids", "counts", "x", "block", "q", "q_x")
 
         def run(batches):
@@ -435,9 +442,11 @@ class MultiProbe:
         passes = -(-size // most_bytes)
         out = near.limit(0)
         for i in range(passes):
-            own: dict[int, list] = {}
-            for r in lacking.filter(F.pmod(F.xxhash64("query_id", "qh"), F.lit(passes)) == i).collect():  # about `most_bytes`
-                own.setdefault(len(r.v), []).append(r)
-            block = {dim: (np.array([r.query_id for r in rs], np.int64), np.array([r.qh for r in rs], np.int64), np.array([r.v for r in rs])) for dim, rs in own.items()}
+            own = lacking.filter(F.pmod(F.xxhash64("query_id", "qh"), F.lit(passes)) == i).toArrow()  # about `most_bytes`
+            dims = pc.list_value_length(own["v"])
+            block = {}
+            for dim in dims.unique().to_pylist():
+                ids, qh, v = (c.combine_chunks() for c in own.filter(pc.equal(dims, dim)).select(["query_id", "qh", "v"]).columns)
+                block[dim] = (ids.to_numpy(), qh.to_numpy(), v.flatten().to_numpy().reshape(-1, dim))
             out = out.unionByName(self.compare(rows, block).select("query_id", "qh", "vec_id", "score"))
         return out

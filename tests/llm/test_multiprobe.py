@@ -108,3 +108,17 @@ def test_repeated_rows_count_once(spark, tmp_path):
     assert [v for _, v in got[100]].count(1) <= 1
     assert len(got[0]) == 20  # two vectors of this id, each searched
     assert 0 not in [v for _, v in got[0]]
+
+
+def test_probes_stay_off_the_driver(spark, tmp_path):
+    """A query has many probes: they are neither broadcast nor held whole by a task, and small batches of them find the same."""
+    rng = np.random.default_rng(7)
+    own = multiprobe.MultiProbe()
+    rows = stored(spark, tmp_path, rng.normal(size=(8000, 32))).selectExpr("vec_id", "embedding AS v")
+    fits = own.fits(rows)
+    found = own.probed(rows, fits, 100, "<f4")
+    got = {tuple(r) for r in found.collect()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Broadcast" not in plan
+    assert {r[0] for r in got} == set(range(0, 8000, 100))
+    assert {tuple(r) for r in own._top(own.probed(rows, fits, 100, "<f4", most_bytes=1000)).select("query_id", "qh", "vec_id", "score").collect()} <= got
