@@ -281,7 +281,7 @@ def lookup_fill(t):
 @query("""SELECT source, md5(d) AS doc_md5, n AS comments_used, length(d) AS doc_char_len, len(list_filter(string_split(d, ' '), lambda x: x <> '')) AS doc_token_len_est
     FROM (SELECT source, count(*) AS n, string_agg(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ' ORDER BY doc_id) AS d FROM documents GROUP BY source)""")
 def group_documents(t):
-    return canonical.group_documents(t("documents"), "source", "doc_id", text.collapse(F.col("text"))).select("source", F.md5("document").alias("doc_md5"), "comments_used", "doc_char_len", "doc_token_len_est")
+    return canonical.document_digests(t("documents"), "source", "doc_id", text.collapse(F.col("text")))
 
 
 @query("SELECT conv_id, d AS document, n AS comments_used, length(d) AS doc_char_len, len(list_filter(string_split(d, ' '), lambda x: x <> '')) AS doc_token_len_est FROM (SELECT conv_id, count(*) AS n, string_agg(text, ' ' ORDER BY turn, text) AS d FROM conversations GROUP BY conv_id)")

@@ -231,3 +231,24 @@ def test_index_is_stored_and_searched(spark, tmp_path):
     found = [[tuple(r) for r in retrieval.search(q, "query", text.tokens(F.col("text")), *i, k=3).orderBy("rank").collect()] for i in (built, index.load(spark, str(tmp_path)))]
     assert found[0] == found[1]
     assert found[0][0][1] == "d0"
+
+
+def test_document_digests_hold_no_document(spark, tmp_path):
+    """Groups are read as streams, over several batches, and equal the statement: nulls, blanks, groups without text."""
+    import duckdb
+
+    from reviewloom.plans.queries import ORACLE_SQL, QUERIES
+
+    rows = [(i, [f"  Worté {i} \n x ", "", None, "中 \t b"][i % 4], ["a", "b", None, "c"][i % 7 % 4]) for i in range(700)]
+    rows += [(1000, None, "no text"), (1001, None, "no text"), (1002, " ", "blank"), (1003, None, "late"), (1004, "y", "late")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = QUERIES["group_documents"](spark, str(tmp_path))
+        got = {tuple(r) for r in df.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.execute(ORACLE_SQL["group_documents"]).fetchall())
+    assert "collect_list" not in df._jdf.queryExecution().executedPlan().toString()
