@@ -1,9 +1,11 @@
 """Near-duplicates by the Jaccard similarity of the sets of five-word shingles: 4/5 or more.
 
-Candidates: a set's MinHash signature has BANDS bands of ROWS minima; sets that agree in a
-band meet. A pair at a similarity of s is missed with probability (1 - s ** ROWS) ** BANDS:
-5e-6 at 0.8, 7e-14 at 0.9. Candidates are verified by their whole sets, in whole numbers;
-no link rests on a signature.
+Candidates, first: sets whose SimHash fingerprints differ in at most two bits meet by the
+multi-index hashing of simhash. Pairs at 4/5 are mostly further apart, and a radius that reaches
+them has no selective halves, so a second step finds those beyond two bits: a set's MinHash signature
+has BANDS bands of ROWS minima; sets that agree in a band meet. A pair at a similarity of s is missed
+there with probability (1 - s ** ROWS) ** BANDS: 5e-6 at 0.8, 7e-14 at 0.9. Candidates of both steps
+are verified by their whole sets, in whole numbers; no link rests on a fingerprint or a signature.
 
 Equal sets are one entry from the start. Then each set is compared with the earliest one of
 each of its buckets. Only the sets of buckets that still hold several components go on: those
@@ -25,9 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import column, materialize
 from .encoder import slices
-from .simhash import components, hashes
+from .simhash import components, fingerprint, hashes
 
 BANDS, ROWS = 40, 6
 WIDTH = 5
@@ -80,18 +83,36 @@ def prefixes(held: DataFrame) -> DataFrame:
     return ranked.select("node", "n", "root", "outside", F.posexplode(first).alias("i", "e")).filter("e.c > 1").select("node", "n", "root", "outside", F.col("e.s").alias("s"), "i")
 
 
+def sized(p, q):
+    """Whether sets of p and q shingles can be at 4/5 or more."""
+    return 5 * F.least(p, q) >= 4 * F.greatest(p, q)
+
+
+def close_prints(distinct: DataFrame) -> DataFrame:
+    """(a, b): sets whose fingerprints are equal, or linked by the multi-index hashing of simhash (two bits or fewer).
+
+    The earliest set of each fingerprint stands for it.
+    """
+    heads = materialize(distinct.groupBy("fp").agg(F.min(F.struct("first", "node", "n")).alias("o")).select("fp", F.col("o.node").alias("head"), F.col("o.n").alias("head_n")), "heads")
+    same = distinct.select("fp", "node", "n").join(heads, "fp").filter(F.col("node") != F.col("head")).select("node", "n", "head", "head_n")
+    p, q = (heads.select(F.col("fp").alias(x), F.col("head").alias(to), F.col("head_n").alias(n)) for x, to, n in (("a", "node", "n"), ("b", "head", "head_n")))
+    near = simhash.links(heads.select("fp")).join(p, "a").join(q, "b").select("node", "n", "head", "head_n")
+    met = same.unionByName(near).filter(sized(F.col("n"), F.col("head_n")))
+    return met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+
+
 def links(distinct: DataFrame, own: DataFrame, width: int = WIDTH) -> DataFrame:
     """(a, b): verified links that connect all near-duplicates among the distinct sets.
 
-    distinct: node, first (struct<d, t>, a row that has the set), n (its size), keys. own: d, t, text.
+    distinct: node, first (struct<d, t>, a row that has the set), n (its size), fp (that row's fingerprint), keys. own: d, t, text.
     """
     entries = distinct.select("node", "first", "n", F.explode("keys").alias("key"))
     least = entries.groupBy("key").agg(F.min(F.struct("first", "node", "n")).alias("o"), F.count("*").alias("held")).filter("held > 1")
     met = entries.select("node", "n", "key").join(least.select("key", F.col("o.node").alias("head"), F.col("o.n").alias("head_n")), "key")
     met = materialize(met, "buckets")
-    sized = lambda p, q: 5 * F.least(p, q) >= 4 * F.greatest(p, q)
     star = met.filter((F.col("node") != F.col("head")) & sized(F.col("n"), F.col("head_n")))
-    star = star.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+    star = star.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b"))
+    star = materialize(close_prints(distinct).unionByName(star).distinct(), "pairs")
 
     def run(batches):
         for batch in batches:
@@ -99,7 +120,8 @@ def links(distinct: DataFrame, own: DataFrame, width: int = WIDTH) -> DataFrame:
             for i, j in slices(texts):
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[i:j], pa.int64()), pa.array([shingle_set(x, width).view(np.int64) for x in texts[i:j]], pa.list_(pa.int64()))], names=["node", "own"])
 
-    wanted = distinct.select("node", "first.d", "first.t").join(met.select("node").distinct(), "node")
+    nodes = met.select("node").unionByName(star.select(F.col("a").alias("node"))).unionByName(star.select(F.col("b").alias("node")))
+    wanted = distinct.select("node", "first.d", "first.t").join(nodes.distinct(), "node")
     texts = own.join(wanted, ["d", "t"]).dropDuplicates(["node"]).select("node", "text")
     sets = materialize(texts.mapInArrow(run, "node long, own array<long>"), "sets")
     near = materialize(verified(star, sets), "near")
@@ -133,14 +155,15 @@ def survivors(documents: DataFrame, width: int = WIDTH) -> DataFrame:
         for batch in batches:
             ds, ts, texts = batch.column("d"), batch.column("t"), column(batch, "text")
             for i, j in slices(texts):
-                sets = [shingle_set(x, width) for x in texts[i:j]]
-                made = [pa.array(list(map(_node, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(band_keys, sets)), pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([ds.slice(i, j - i), ts.slice(i, j - i), *made], names=["d", "t", "node", "n", "keys"])
+                each = [hashes(x, width) for x in texts[i:j]]
+                sets = list(map(np.unique, each))
+                made = [pa.array(list(map(_node, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int32()), pa.array(list(map(fingerprint, each)), pa.int64()), pa.array(list(map(band_keys, sets)), pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([ds.slice(i, j - i), ts.slice(i, j - i), *made], names=["d", "t", "node", "n", "fp", "keys"])
 
     own = keyed.select(F.col(d).alias("d"), F.col(t).alias("t"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    prints = materialize(own.mapInArrow(run, "d long, t long, node long, n int, keys array<long>"), "signatures")
+    prints = materialize(own.mapInArrow(run, "d long, t long, node long, n int, fp long, keys array<long>"), "signatures")
     first = F.struct("d", "t").alias("first")
-    distinct = prints.groupBy("node").agg(F.min(F.struct(first, "n", "keys")).alias("o")).select("node", "o.first", "o.n", "o.keys")
+    distinct = prints.groupBy("node").agg(F.min(F.struct(first, "n", "fp", "keys")).alias("o")).select("node", "o.first", "o.n", "o.fp", "o.keys")
     distinct = materialize(distinct, "distinct")
     roots = components(links(distinct, own, width)).withColumnRenamed("node", "of")
     held = distinct.select("node", "first").join(roots, F.col("node") == F.col("of"), "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first"))

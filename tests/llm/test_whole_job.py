@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from reviewloom.llm import linededup, neardups, quality
+from reviewloom.llm import linededup, neardups, quality, simhash
 from reviewloom.plans import queries
 
 
@@ -97,3 +97,23 @@ def test_languages_without_words_are_trimmed(spark):
     chars, _ = rules.references(own)[quality.OTHER]
     assert chars[4] == chars[5] == 0
     assert chars[0] > 0.5
+
+
+def test_near_duplicates_meet_by_fingerprints(spark):
+    """Long texts with one word changed, under signatures that share no band: their fingerprints link them, and the sets decide."""
+    rng = random.Random(6)
+    texts = []
+    for k in range(30):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+        texts += [" ".join(base), " ".join([*base[:-1], f"e{k}"])]
+    texts += ["a b c d e", "a b c d e a b c d e"]  # fingerprints may be close, sets are not
+    rows = []
+    for i, t in enumerate(texts):
+        own = neardups.shingle_set(t)
+        rows.append((neardups._node(own), (i, i), len(own), simhash.fingerprint(simhash.hashes(t, neardups.WIDTH)), []))
+    prints = [r[3] for r in rows]
+    want = {tuple(sorted((rows[i][0], rows[i + 1][0]))) for i in range(0, 60, 2) if ((prints[i] ^ prints[i + 1]) & (2**64 - 1)).bit_count() <= 2}
+    assert len(want) > 20
+    distinct = spark.createDataFrame(rows, "node long, first struct<d: long, t: long>, n int, fp long, keys array<long>")
+    own = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "d long, t long, text string")
+    assert {tuple(r) for r in neardups.links(distinct, own).collect()} == want
