@@ -16,6 +16,10 @@ text's symbols after these cost three array lookups. The symbols after other con
 of three bytes are grouped by context in each task and joined to the contexts' counts,
 which are as many as the corpus has; contexts never counted start at two bytes.
 
+A worker's memory is bounded apart from its Arrow batch and longest text: texts are turned
+into symbols by slices, symbols are numbered by windows, and what a task gathers by
+context goes out in parts.
+
 The baseline needs each word's training count. Words that make up at least one in 50,000
 of the tokens, so at most 50,000 of them, are broadcast. For the others, a task groups
 its documents by word, and the words' lists are joined to the counts and summed by
@@ -34,19 +38,23 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, doc_texts, materialize
-from .encoder import slices
 
 END = 256
 SYMBOLS = 257
 CONTEXTS3 = 1 << 15
 HEAD = 50_000
 MEMO = 400_000
+HASHES = 150_000
+SLICE = 2_000_000
+WINDOW = 1 << 18
+PART = 1 << 18
 _END_WORD = b"\n"  # no word holds white space
 
 
@@ -55,20 +63,45 @@ def word_hash(word: bytes) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def prepared(batch: pa.RecordBatch):
+    """By slices of about SLICE bytes: the first row, the row after the last, and the texts as bytes with A-Z in lower case."""
+    texts = batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary())
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    i = 0
+    while i < len(texts):
+        j = min(len(texts), int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE)) + 1)
+        yield i, j, [t.lower() for t in texts.slice(i, j - i).to_pylist()]  # bytes: just A-Z
+        i = j
+
+
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All texts' symbols in one row, each text with three zero bytes before and the end behind; where each text begins."""
-    ends = np.cumsum([len(t) + 4 for t in texts], dtype=np.int64)
-    joined = np.frombuffer(b"".join(b"\0\0\0" + t + b"\0" for t in texts), np.uint8).astype(np.int64)
+    lengths = np.array([len(t) + 4 for t in texts], np.int64)
+    ends = np.cumsum(lengths)
+    joined = np.frombuffer(b"".join(b"\0\0\0" + t + b"\0" for t in texts), np.uint8).astype(np.uint16)
     joined[ends - 1] = END
-    return joined, np.concatenate(([0], ends[:-1])).astype(np.int64)
+    return joined, ends - lengths
 
 
-def positions(total: int, starts: np.ndarray) -> np.ndarray:
-    """Places of the symbols to be coded: all but the zero bytes before each text."""
-    coded = np.ones(total, bool)
-    for k in range(3):
-        coded[starts + k] = False
-    return np.flatnonzero(coded)
+def grams(texts: list[bytes]):
+    """Of the symbols to be coded, by windows: the text's number, and the context of three bytes and symbol as one number."""
+    s, starts = symbols(texts)
+    zeros = (starts[:, None] + np.arange(3)).ravel()
+    for i in range(3, len(s), WINDOW):
+        j = min(i + WINDOW, len(s))
+        first, last = np.searchsorted(starts, [i, j - 1], side="right") - 1
+        text = np.repeat(np.arange(first, last + 1), np.diff(np.r_[i, starts[first + 1 : last + 1], j]))
+        coded = np.ones(j - i, bool)
+        a, b = np.searchsorted(zeros, [i, j])
+        coded[zeros[a:b] - i] = False
+        gram = s[i - 3 : j - 3].astype(np.int64)
+        gram <<= 8
+        gram |= s[i - 2 : j - 2]
+        gram <<= 8
+        gram |= s[i - 1 : j - 1]
+        gram <<= 9
+        gram |= s[i:j]
+        yield text[coded], gram[coded]
 
 
 def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -81,9 +114,7 @@ def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
 
 def count_grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(context of three bytes and symbol as one number, its count)"""
-    s, starts = symbols(texts)
-    at = positions(len(s), starts)
-    return np.unique(s[at - 3] << 25 | s[at - 2] << 17 | s[at - 1] << 9 | s[at], return_counts=True)
+    return merge(*zip(*(np.unique(gram, return_counts=True) for _, gram in grams(texts)), strict=True))
 
 
 def probabilities(levels: list[np.ndarray]) -> np.ndarray:
@@ -138,17 +169,17 @@ class Trie:
 
     def score(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """log10 probability of each text's symbols after contexts that the table has; of the others, the text's number and context << 9 | symbol."""
-        s, starts = symbols(texts)
-        at = positions(len(s), starts)
-        a, b, c = s[at - 3], s[at - 2], s[at - 1]
-        line = self.line[a << 8 | b]
-        row = np.where(line < len(self.of3) - 1, self.of3[line, c], self.of2[b << 8 | c])
-        p = self.rows[row, s[at]].astype(np.float64)
-        rest = np.flatnonzero(row < self.three_from)
-        p[rest] = 0
-        begin = starts - 3 * np.arange(len(starts))
-        doc = np.searchsorted(begin, rest, side="right") - 1
-        return np.add.reduceat(p, begin) if len(starts) else p, doc, a[rest] << 25 | b[rest] << 17 | c[rest] << 9 | s[at[rest]]
+        sums, docs, others = np.zeros(len(texts)), [], []
+        for doc, gram in grams(texts):
+            line = self.line[gram >> 17]
+            row = np.where(line < len(self.of3) - 1, self.of3[line, gram >> 9 & 255], self.of2[gram >> 9 & 65535])
+            p = self.rows[row, gram & 511].astype(np.float64)
+            rest = np.flatnonzero(row < self.three_from)
+            p[rest] = 0
+            sums += np.bincount(doc, p, len(texts))
+            docs.append(doc[rest])
+            others.append(gram[rest])
+        return sums, np.concatenate(docs), np.concatenate(others)
 
 
 class Shorter:
@@ -170,8 +201,10 @@ class Shorter:
         return np.log10(probabilities([n3, n2, self.n1[context & 255], self.n0]))
 
 
-def prepared(text: str) -> bytes:
-    return text.encode().lower()  # bytes: just A-Z
+def packed_lists(begin: np.ndarray, pairs: np.ndarray) -> pa.Array:
+    """Pairs of 64-bit numbers as a list a row, each from one place in `begin` to the next."""
+    cuts = (np.r_[begin, len(pairs)] * 16).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(cuts), pa.py_buffer(np.ascontiguousarray(pairs, "<i8"))])
 
 
 def held_out(doc_id: str, folds: int, part: int):
@@ -194,9 +227,7 @@ def counts(documents: DataFrame) -> DataFrame:
             return out
 
         for batch in batches:
-            texts = column(batch, "text")
-            for i, j in slices(texts):
-                own = [prepared(t) for t in texts[i:j]]
+            for _, _, own in prepared(batch):
                 for t in own:
                     words.update(t.split())
                 words[_END_WORD] += len(own)
@@ -204,10 +235,10 @@ def counts(documents: DataFrame) -> DataFrame:
                 keys.append(k)
                 ns.append(n)
                 held += len(k)
-                if held > 4_000_000:
+                if held > 1_000_000:
                     k, n = merge(keys, ns)
                     keys, ns, held = [k], [n], len(k)
-                    if held > 2_000_000:
+                    if held > 500_000:
                         yield batch_of(1, k, n)
                         keys, ns, held = [], [], 0
                 if len(words) > MEMO:
@@ -250,7 +281,7 @@ def score(documents: DataFrame, folds: int = 7, part: int = 2, contexts: int = C
         head_logs = np.log10(head_counts + 1.0)
         hashes: dict[bytes, int] = {}
         base, at = TaskContext.get().partitionId() << 32, 0
-        cold: list[tuple] = []
+        cold: list[np.ndarray] = []
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
         names = ["kind", "key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "docs"]
 
@@ -259,17 +290,20 @@ def score(documents: DataFrame, folds: int = 7, part: int = 2, contexts: int = C
 
         def after_others():
             """Kind 2: a context that the table has not, with the documents and symbols that it stands before."""
-            docs, grams = (np.concatenate(x) for x in zip(*cold, strict=True))
+            grams = np.concatenate(cold)
             cold.clear()
-            posting = docs << 9 | grams & 511
-            order = np.lexsort((posting, grams >> 9))
-            context, posting = grams[order] >> 9, posting[order]
-            first = np.flatnonzero(np.r_[True, (context[1:] != context[:-1]) | (posting[1:] != posting[:-1])])
-            packed = np.stack([posting[first], np.diff(np.r_[first, len(posting)])], axis=1).astype("<i8").tobytes()
-            context = context[first]
-            begin = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-            cuts = [*(begin * 16).tolist(), len(packed)]
-            return rows(len(begin), kind=pa.array(np.full(len(begin), 2, np.int32)), key=pa.array(context[begin]), docs=pa.array([packed[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary()))
+            grams.sort()
+            i = 0
+            while i < len(grams):
+                j = int(np.searchsorted(grams, grams[min(i + PART, len(grams)) - 1] | np.uint64((1 << 40) - 1), side="right"))  # a context stays whole
+                first = np.flatnonzero(np.r_[True, grams[i + 1 : j] != grams[i : j - 1]])
+                times = np.diff(np.r_[first, j - i])
+                own = grams[i:j][first]
+                context = (own >> 40).astype(np.int64)
+                begin = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+                posting = (own & ((1 << 40) - 1)).astype(np.int64) + (base << 9)
+                yield rows(len(begin), kind=pa.array(np.full(len(begin), 2, np.int32)), key=pa.array(context[begin]), docs=packed_lists(begin, np.stack([posting, times], axis=1)))
+                i = j
 
         def hashed(ws: list[bytes]) -> list[int]:
             for w in set(ws).difference(hashes):
@@ -277,12 +311,11 @@ def score(documents: DataFrame, folds: int = 7, part: int = 2, contexts: int = C
             return list(map(hashes.__getitem__, ws))
 
         for batch in batches:
-            ids, texts, held = batch.column("doc_id"), column(batch, "text"), batch.column("held_out")
-            for i, j in slices(texts):
-                own = [prepared(t) for t in texts[i:j]]
+            ids, held = batch.column("doc_id"), batch.column("held_out")
+            for i, j, own in prepared(batch):
                 split = [[*t.split(), _END_WORD] for t in own]
                 n = np.array([len(ws) for ws in split])
-                if len(hashes) > MEMO:
+                if len(hashes) > HASHES:
                     hashes.clear()
                 h = np.fromiter((x for ws in split for x in hashed(ws)), np.int64, int(n.sum()))
                 doc = np.repeat(np.arange(len(own)), n)
@@ -292,9 +325,10 @@ def score(documents: DataFrame, folds: int = 7, part: int = 2, contexts: int = C
                 keys = base + at + np.arange(len(own))
                 logs, cold_doc, grams = trie.score(own)
                 if len(grams):
-                    cold.append((keys[cold_doc], grams))
-                    if sum(len(g) for _, g in cold) > 2_000_000:
-                        yield after_others()
+                    # context, the document's number in the task, symbol: 24, 31 and 9 bits
+                    cold.append((grams >> 9).astype(np.uint64) << 40 | (at + cold_doc).astype(np.uint64) << 9 | (grams & 511).astype(np.uint64))
+                    if sum(map(len, cold)) > 2_000_000:
+                        yield from after_others()
                 yield rows(len(own), kind=pa.array(np.zeros(len(own), np.int32)), key=pa.array(keys), doc_id=ids.slice(i, j - i), held_out=held.slice(i, j - i), n_tokens=pa.array(n), n_known=pa.array(np.bincount(doc[hit], minlength=len(own))), base=pa.array(sums), score=pa.array(logs))
                 at += len(own)
                 rest, rest_doc = h[~hit], doc[~hit]
@@ -304,15 +338,13 @@ def score(documents: DataFrame, folds: int = 7, part: int = 2, contexts: int = C
                     new = np.r_[True, (rest[1:] != rest[:-1]) | (rest_doc[1:] != rest_doc[:-1])]
                     first = np.flatnonzero(new)
                     times = np.diff(np.r_[first, len(rest)])
-                    postings = np.stack([keys[rest_doc[first]], times], axis=1).astype("<i8")
+                    postings = np.stack([keys[rest_doc[first]], times], axis=1)
                     word = rest[first]
                     begin = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-                    cuts = [*(begin * 16).tolist(), postings.nbytes]
-                    packed = postings.tobytes()
-                    yield rows(len(begin), kind=pa.array(np.ones(len(begin), np.int32)), key=pa.array(word[begin]), docs=pa.array([packed[a:b] for a, b in zip(cuts, cuts[1:])], pa.binary()))
+                    yield rows(len(begin), kind=pa.array(np.ones(len(begin), np.int32)), key=pa.array(word[begin]), docs=packed_lists(begin, postings))
 
         if cold:
-            yield after_others()
+            yield from after_others()
 
     schema = "kind int, key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, docs binary"
     stored = materialize(docs.mapInArrow(run, schema), "scores")

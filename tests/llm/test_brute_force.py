@@ -9,6 +9,7 @@ import os
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -556,6 +557,37 @@ def test_ppm_against_plain_counts(spark, contexts):
         assert r.score == pytest.approx(score(b), rel=1e-5)
 
 
+def test_ppm_holds_a_few_windows_of_a_slice():
+    """Two megabytes of text took 100 MB and more of arrays, in each of an executor's workers at once."""
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(97, 105, 100_000).astype(np.uint8).tobytes() for _ in range(20)]
+    grams, n = ppm.count_grams(texts)
+    assert n.sum() == 20 * 100_001
+    two, at = np.unique(grams & (1 << 25) - 1, return_inverse=True)
+    trie = ppm.Trie((two, np.bincount(at, n)), (grams, n.astype(float)))
+    for work in (ppm.count_grams, trie.score):
+        tracemalloc.start()
+        work(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 40e6, work
+
+
+def test_ppm_windows_cut_texts_anywhere(monkeypatch):
+    texts = [b"", b"a", b"", b"abcabcabc" * 3, b"\0\0\0\0", b"xyz"]
+    plain = collections.Counter()
+    for t in texts:
+        s = [0, 0, 0, *t, 256]
+        plain.update(s[i - 3] << 25 | s[i - 2] << 17 | s[i - 1] << 9 | s[i] for i in range(3, len(s)))
+    for window in (1, 2, 3, 4, 7, 1000):
+        monkeypatch.setattr(ppm, "WINDOW", window)
+        keys, n = ppm.count_grams(texts)
+        assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == plain
+        doc, gram = map(np.concatenate, zip(*ppm.grams(texts), strict=True))
+        assert np.bincount(doc, minlength=len(texts)).tolist() == [len(t) + 1 for t in texts]
+        assert (gram[np.cumsum([len(t) + 1 for t in texts]) - 1] & 511 == ppm.END).all()
+
+
 def test_ppm_probabilities_sum_to_one():
     rng = np.random.default_rng(1)
     for _ in range(50):
